@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import lexicons as L
 from ..functions import text as T
+from .sanitize import normal_form
 
 
 def confidence_band(p: Column, style: str = "api") -> Column:
@@ -30,17 +31,21 @@ def valid_requests(docs: DataFrame, least: int = 10, most: int = 250_000) -> Dat
     return docs.filter(F.length("text").between(least, most))
 
 
+#: Fixed patterns of the rule score. Word borders are ASCII, whatever the Java version takes them for.
+_ZERO, _ODD = "[\\u200B-\\u200D\\uFEFF]", "[\\u0400-\\u04FF\\u0370-\\u03FF]"
+_RULE_WORD = "(?:(?<![a-z0-9_])(?=[a-z0-9])|(?<=[a-z0-9_])(?='))[a-z0-9']+(?:(?<=[a-z0-9])(?![a-z0-9_])|(?<=')(?=[a-z0-9_]))"
+
+
 def rule_score(docs: DataFrame) -> DataFrame:
     """A score that needs no model: keyword density, vocabulary, sentence rhythm and tampering.
 
     doc_id, ai_probability, classification, confidence_band, transition_density, ttr, burstiness.
     """
     text = F.col("text")
-    zero, odd = F.regexp_count(text, F.lit("[​-‍﻿]")), F.regexp_count(text, F.lit("[Ѐ-ӿͰ-Ͽ]"))
-    rows = docs.select("doc_id", F.regexp_replace(F.coalesce(text, F.lit("")), "[​-‍﻿]", "").alias("clean"), (F.coalesce(zero + odd, F.lit(0)) > 0).alias("tampered"))
+    zero, odd = F.regexp_count(text, F.lit(_ZERO)), F.regexp_count(text, F.lit(_ODD))
+    rows = docs.select("doc_id", normal_form(F.regexp_replace(F.coalesce(text, F.lit("")), _ZERO, "")).alias("clean"), (F.coalesce(zero + odd, F.lit(0)) > 0).alias("tampered"))
     found = F.regexp_extract_all("clean", F.lit("[^.!?]+[.!?]+"), F.lit(0))
-    rows = rows.select("doc_id", "tampered", F.regexp_extract_all(F.lower("clean"), F.lit("[a-z0-9_']*[a-z0-9_][a-z0-9_']*"), F.lit(0)).alias("w"), F.when(F.size(found) > 0, found).otherwise(F.array("clean")).alias("sent"))
-    rows = rows.withColumn("w", F.filter("w", lambda x: ~F.contains(x, F.lit("_"))))
+    rows = rows.select("doc_id", "tampered", F.regexp_extract_all(F.lower("clean"), F.lit(_RULE_WORD), F.lit(0)).alias("w"), F.when(F.size(found) > 0, found).otherwise(F.array("clean")).alias("sent"))
     lengths = F.transform("sent", lambda s: F.regexp_count(s, F.lit("[A-Za-z0-9_]+")))
     n = F.greatest(F.size("w"), F.lit(1))
     rows = rows.select("doc_id", "tampered", (F.size(F.array_distinct("w")) / n).alias("ttr"), (F.size(F.filter("w", lambda x: x.isin(*L.RULE_KEYWORDS))) / n).alias("transition_density"), T.deviation(lengths, 0).alias("burstiness"))
