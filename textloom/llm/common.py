@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
+import zipfile
 
 import numpy as np
 import pyarrow as pa
@@ -32,11 +34,28 @@ def prepare(spark: SparkSession) -> SparkSession:
         except Exception:  # noqa: BLE001  an option that this Spark lacks
             continue
     context = spark.sparkContext
+    _ship(context)
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="textloom-"))
     return spark
 
 
+def _ship(context) -> None:
+    """Gives the package to Python workers that would not find it, once per context."""
+    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    known = [os.path.abspath(p) for p in [*os.environ.get("PYTHONPATH", "").split(os.pathsep), "."] if p]
+    if root in known or getattr(context, "_textloom_shipped", False):
+        return
+    path = os.path.join(tempfile.mkdtemp(prefix="textloom-"), "textloom.zip")  # the driver's; Spark serves it to executors
+    with zipfile.ZipFile(path, "w") as out:
+        for folder, _, names in os.walk(os.path.join(root, "textloom")):
+            for name in names:
+                if name.endswith(".py"):
+                    out.write(os.path.join(folder, name), os.path.relpath(os.path.join(folder, name), root))
+    context.addPyFile(path)
+    context._textloom_shipped = True
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -128,16 +147,24 @@ def word_table(batch: pa.RecordBatch, text: str = "text") -> tuple[np.ndarray, n
     return hashes, np.searchsorted(starts, at)
 
 
+def run_places(offsets: np.ndarray, n: int) -> np.ndarray:
+    """Where each row's runs of n words start in a list of all runs that lie in one row."""
+    return np.concatenate([[0], np.cumsum(np.maximum(np.diff(offsets) - n + 1, 0))])
+
+
 def rolling(hashes: np.ndarray, offsets: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all runs of n words that lie in one row, and where each row's runs start."""
-    counts = np.maximum(np.diff(offsets) - n + 1, 0)
-    into = np.concatenate([[0], np.cumsum(counts)])
+    into = run_places(offsets, n)
+    return run_hashes(hashes, np.repeat(offsets[:-1] - into[:-1], np.diff(into)) + np.arange(into[-1]), n), into
+
+
+def run_hashes(hashes: np.ndarray, first: np.ndarray, n: int) -> np.ndarray:
+    """Hashes of the runs of n words that start at these places: polynomials, from differences of prefix sums."""
+    up, down = _powers(len(hashes) + 1)
     with np.errstate(over="ignore"):
-        first = np.repeat(offsets[:-1] - into[:-1], counts) + np.arange(into[-1])
-        out = np.zeros(into[-1], _U)
-        for k in range(n):
-            out = out * _U(0x9E3779B97F4A7C15 | 1) + hashes[first + k]
-        return splitmix(out), into
+        sums = np.zeros(len(hashes) + 1, _U)
+        np.cumsum(hashes * up[: len(hashes)], out=sums[1:])
+        return splitmix((sums[first + n] - sums[first]) * down[first])
 
 
 def components(edges: DataFrame, u: str = "u", v: str = "v") -> DataFrame:

@@ -5,10 +5,12 @@ Every text is rewritten in rounds. A round first replaces each maximal run of on
 symbol named after the pair. Names are 64-bit hashes of what they stand for, hence global without a shuffle: equal
 content gets equal names in every task. Next to each symbol stands its *reach*, the words that decided it. Two equal
 runs of words hold the same symbols wherever a symbol's reach lies inside the run, so a window can only repeat if each
-symbol reaching no further than the window is shared. Windows that pass are verified by a hash of all their words.
+symbol reaching no further than the window is shared. Windows that pass are verified by 79 bits
+of hash of all their words.
 
-Nulls and texts without words have nothing to remove. Rows with a null doc_id are kept whole and take nothing from
-others. Repeated rows get the same result each; a window is never taken from a row by another row of the same doc_id.
+Nulls and texts without words have nothing to remove. Rows with a null doc_id come before all others, in an order of
+their texts' hashes, and show null again. Repeated rows get the same result each; a row never loses a window to another row
+of its own doc_id.
 """
 
 from __future__ import annotations
@@ -18,12 +20,15 @@ import hashlib
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import prepare, rolling, row_key, slices, splitmix, word_table
+from .common import prepare, run_hashes, run_places, slices, splitmix, word_table
 
 _U = np.uint64
 ROUNDS, WINDOW = 7, 50
+#: Rows that share a doc_id are told apart by their texts' hash modulo this, carried in the low bits of places.
+TAGS = 1 << 16
 
 
 def parse(words: np.ndarray, offsets: np.ndarray, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -79,18 +84,14 @@ def parse(words: np.ndarray, offsets: np.ndarray, rounds: int = ROUNDS) -> tuple
 
 
 def _marks(words: np.ndarray, offsets: np.ndarray, window: int, rounds: int):
-    """Symbols that fit a window, and the windows in which no symbol fits, named by their words.
-
-    (name, row, place in the row); a window's place is -1 minus its start.
-    """
+    """Symbols that fit a window, as (name, row, reach from, reach to), and the windows (row, start) in which none fits."""
     name, row, low, high = parse(words, offsets, rounds)
     fits = (low >= offsets[row]) & (high <= offsets[row + 1]) & (high - low <= window)
     name, row, low, high = name[fits], row[fits], low[fits], high[fits]
-    hashes, into = rolling(words, offsets, window)
-    held = _covered(low, high, row, offsets, into, window)
-    bare = np.flatnonzero(~held)
+    into = run_places(offsets, window)
+    bare = np.flatnonzero(~_covered(low, high, row, offsets, into, window))
     bare_row = np.searchsorted(into, bare, "right") - 1
-    return (name, row, low, high), (hashes, into), (bare, bare_row)
+    return (name, row, low, high), into, (bare, bare_row)
 
 
 def _covered(low, high, row, offsets, into, window) -> np.ndarray:
@@ -105,53 +106,99 @@ def _covered(low, high, row, offsets, into, window) -> np.ndarray:
     return np.cumsum(steps)[:-1] > 0
 
 
+def _lists(rows: np.ndarray, values: np.ndarray, n: int) -> tuple[np.ndarray, pa.Array]:
+    """Values by row, for rows that have any: the rows, and a list each."""
+    order = np.argsort(rows, kind="stable")
+    counts = np.bincount(rows, minlength=n)
+    have = np.flatnonzero(counts)
+    ends = np.concatenate([[0], np.cumsum(counts[have])]).astype(np.int32)
+    return have, pa.ListArray.from_arrays(pa.array(ends), pa.array(values[order]))
+
+
+def _first_of(keys: tuple[np.ndarray, ...], ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The least and the greatest id among the entries with the same keys, for each entry."""
+    order = np.lexsort((ids, *keys))
+    new = np.ones(len(order), bool)
+    new[1:] = np.any([k[order][1:] != k[order][:-1] for k in keys], axis=0)
+    group = np.cumsum(new) - 1
+    heads = np.flatnonzero(new)
+    tails = np.append(heads[1:], len(order)) - 1
+    least, greatest = np.empty_like(ids), np.empty_like(ids)
+    least[order], greatest[order] = ids[order][heads][group], ids[order][tails][group]
+    return least, greatest
+
+
 def _first_pass(window: int, rounds: int):
+    """Marks (key, doc_id, place), and per row the places already known to be shared within the slice.
+
+    Of a mark that a slice shares only the entries of its least doc are sent on, so that no mark fills a task.
+    """
+
     def run(batches):
         for batch in batches:
             for part in slices(batch):
                 words, offsets = word_table(part)
-                keys = part.column("rid").to_numpy()
-                ids = part.column("doc_id").to_numpy()
-                (name, row, low, _), (hashes, into), (bare, bare_row) = _marks(words, offsets, window, rounds)
+                ids, tags = part.column("doc_id").to_numpy(), part.column("tag").to_numpy()
+                (name, row, low, _), into, (bare, bare_row) = _marks(words, offsets, window, rounds)
+                start = bare - into[bare_row]
                 rows = np.concatenate([row, bare_row])
-                if len(rows):
-                    place = np.concatenate([low - offsets[row], -1 - (bare - into[bare_row])]).astype(np.int32)
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([name, hashes[bare]]).view(np.int64)), pa.array(keys[rows]), pa.array(ids[rows]), pa.array(place)], ["name", "rid", "doc_id", "place"])
+                if not len(rows):
+                    continue
+                names = np.concatenate([name, run_hashes(words, offsets[bare_row] + start, window)])
+                place = np.concatenate([low - offsets[row], -1 - start]) * TAGS + tags[rows]
+                own = ids[rows]
+                least, greatest = _first_of((names,), own)
+                sent, known = own == least, least < greatest
+                yield pa.RecordBatch.from_arrays([pa.array(names[sent].view(np.int64)), pa.array(own[sent]), pa.array(place[sent]), pa.nulls(int(sent.sum()), pa.list_(pa.int64()))], ["key", "doc_id", "place", "places"])
+                have, lists = _lists(rows[known], place[known], len(ids))
+                yield pa.RecordBatch.from_arrays([pa.array(splitmix(ids[have].view(_U)).view(np.int64)), pa.array(ids[have]), pa.nulls(len(have), pa.int64()), lists], ["key", "doc_id", "place", "places"])
 
     return run
 
 
 def _second_pass(window: int, rounds: int):
+    """Windows (key, check, doc_id, start) that may repeat, and per row the stretches known to repeat a doc of the slice.
+
+    A stretch is a pair of window starts, the second one exclusive.
+    """
+
     def run(batches):
         for batch in batches:
             for part in slices(batch):
                 words, offsets = word_table(part)
-                keys, ids = part.column("rid").to_numpy(), part.column("doc_id").to_numpy()
-                (_, row, low, high), (hashes, into), (bare, bare_row) = _marks(words, offsets, window, rounds)
+                ids, tags = part.column("doc_id").to_numpy(), part.column("tag").to_numpy()
+                (_, row, low, high), into, (bare, bare_row) = _marks(words, offsets, window, rounds)
                 places = part.column("places")
-                sizes = pa.compute.list_value_length(places).to_numpy()
-                values = pa.compute.list_flatten(places).to_numpy().astype(np.int64)
+                owner = np.repeat(np.arange(len(ids)), pa.compute.list_value_length(places).to_numpy())
+                values = pa.compute.list_flatten(places).to_numpy()
+                own = values % TAGS == tags[owner]
                 span = int(offsets[-1]) + 2
                 code = lambda r, p: r * np.int64(2 * span) + p + span
-                shared = np.sort(code(np.repeat(np.arange(len(sizes)), sizes), values))
+                shared = np.sort(code(owner[own], values[own] // TAGS))
                 alone = ~_among(code(row, low - offsets[row]), shared)
                 out = ~_covered(low[alone], high[alone], row[alone], offsets, into, window)
                 out[bare] = _among(code(bare_row, -1 - (bare - into[bare_row])), shared)
                 at = np.flatnonzero(out)
-                if len(at):
-                    r = np.searchsorted(into, at, "right") - 1
-                    with np.errstate(over="ignore"):
-                        second = splitmix(hashes[at] ^ rolling_second(words, offsets, window)[at])
-                    yield pa.RecordBatch.from_arrays([pa.array(hashes[at].view(np.int64)), pa.array(second.astype(np.uint32).view(np.int32)), pa.array(keys[r]), pa.array(ids[r]), pa.array((at - into[r]).astype(np.int32))], ["h", "h2", "rid", "doc_id", "start"])
+                if not len(at):
+                    continue
+                r = np.searchsorted(into, at, "right") - 1
+                start = at - into[r]
+                first = run_hashes(words, offsets[r] + start, window)
+                second = run_hashes(splitmix(words ^ _U(0x1234567)), offsets[r] + start, window) & _U(0x7FFF)
+                sent = _first_of((first, second), ids[r])[0] == ids[r]
+                low_start = start * TAGS + tags[r]
+                yield pa.RecordBatch.from_arrays([pa.array(first[sent].view(np.int64)), pa.array(second[sent].astype(np.int16)), pa.array(ids[r][sent]), pa.array(low_start[sent]), pa.nulls(int(sent.sum()), pa.list_(pa.int64()))], ["key", "check", "doc_id", "start", "stretches"])
+                known = np.flatnonzero(~sent)
+                if len(known):
+                    gap = (np.diff(known) > 1) | (r[known][1:] != r[known][:-1]) | (np.diff(start[known]) > 1)
+                    heads, tails = known[np.concatenate([[True], gap])], known[np.concatenate([gap, [True]])]
+                    pairs = np.stack([low_start[heads], low_start[tails] + TAGS], 1).ravel()
+                    have, lists = _lists(np.repeat(r[heads], 2), pairs, len(ids))
+                    yield pa.RecordBatch.from_arrays([pa.array(splitmix(ids[have].view(_U)).view(np.int64)), pa.nulls(len(have), pa.int16()), pa.array(ids[have]), pa.nulls(len(have), pa.int64()), lists], ["key", "check", "doc_id", "start", "stretches"])
 
     return run
 
 
-def rolling_second(words: np.ndarray, offsets: np.ndarray, window: int) -> np.ndarray:
-    """Another hash of each window, independent of rolling()."""
-    return rolling(splitmix(words ^ _U(0x1234567)), offsets, window)[0]
-
-
 def _among(x: np.ndarray, known: np.ndarray) -> np.ndarray:
     if not len(known):
         return np.zeros(len(x), bool)
@@ -161,16 +208,17 @@ def _among(x: np.ndarray, known: np.ndarray) -> np.ndarray:
 def _last_pass(window: int):
     def run(batches):
         for batch in batches:
-            texts, starts = batch.column("text"), batch.column("starts")
             n_words, n_removed, digest, kept = [], [], [], []
-            for text, at in zip(texts, starts, strict=True):
+            for text, at, pairs, tag in zip(batch.column("text"), batch.column("starts"), batch.column("stretches"), batch.column("tag").to_pylist(), strict=True):
                 words = (text.as_py() or "").encode().split()
                 n_words.append(len(words))
-                if at.is_valid and len(at):
+                if at.is_valid and len(at) + len(pairs):
                     steps = np.zeros(len(words) + 1, np.int32)
-                    p = at.values.to_numpy(zero_copy_only=False)
-                    np.add.at(steps, p, 1)
-                    np.add.at(steps, p + window, -1)
+                    one, two = at.values.to_numpy(zero_copy_only=False), pairs.values.to_numpy(zero_copy_only=False).reshape(-1, 2)
+                    for low, high in ((one, one + TAGS), (two[:, 0], two[:, 1])):
+                        own = low % TAGS == tag
+                        np.add.at(steps, low[own] // TAGS, 1)
+                        np.add.at(steps, high[own] // TAGS - 1 + window, -1)
                     gone = np.cumsum(steps)[:-1] > 0
                     words = [w for w, g in zip(words, gone.tolist(), strict=True) if not g]
                 n_removed.append(n_words[-1] - len(words))
@@ -182,10 +230,6 @@ def _last_pass(window: int):
     return run
 
 
-def _is_shared(rows: DataFrame, keys: list[str]) -> DataFrame:
-    return rows.groupBy(*keys).agg(F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("last_doc")).filter("first_doc < last_doc").select(*keys, "first_doc")
-
-
 def remove_repeats(docs: DataFrame, window: int = WINDOW, rounds: int = ROUNDS) -> DataFrame:
     """Cuts words that a window repeats from a document with a smaller doc_id.
 
@@ -193,13 +237,23 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, rounds: int = ROUNDS)
     row of docs. Other columns of docs are ignored.
     """
     prepare(docs.sparkSession)
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    docs = docs.withColumn("rid", row_key())
-    named = docs.filter("doc_id is not null and text is not null")
-    marks = named.mapInArrow(_first_pass(window, rounds), "name long, rid long, doc_id long, place int")
-    shared = _is_shared(marks, ["name"]).select("name")
-    places = marks.join(shared, "name").groupBy("rid").agg(F.collect_list("place").alias("places"))
-    windows = named.join(places, "rid").mapInArrow(_second_pass(window, rounds), "h long, h2 int, rid long, doc_id long, start int")
-    taken = windows.join(_is_shared(windows, ["h", "h2"]), ["h", "h2"]).filter("first_doc < doc_id")
-    starts = taken.groupBy("rid").agg(F.collect_set("start").alias("starts"))
-    return docs.join(starts, "rid", "left").select("doc_id", "text", "starts").mapInArrow(_last_pass(window), "doc_id long, n_words long, n_removed long, kept_sha256 string, kept_text string")
+    stand_in = F.lit(-(1 << 62)) - F.abs(F.coalesce(F.xxhash64("text"), F.lit(0)) % (1 << 60))
+    docs = docs.select(F.coalesce(F.col("doc_id").cast("long"), stand_in).alias("doc_id"), F.col("text").cast("string").alias("text"))
+    docs = docs.filter("doc_id is not null")  # always true; the inner join below asks for it, and so both joins' inputs are alike
+    # Where no doc_id repeats, as a shuffle of ids alone tells, tags are 0 and cost no space in the shuffles below.
+    repeated = not docs.groupBy("doc_id").count().filter("count > 1").isEmpty()
+    docs = docs.withColumn("tag", F.coalesce(F.pmod(F.xxhash64("text"), F.lit(TAGS)), F.lit(0)) if repeated else F.lit(0).cast("long"))
+    # Windows over a key hold an entry per slice of text at most for each of its least docs: what slices share is known there.
+    by_key = W.partitionBy("key")
+    marks = docs.mapInArrow(_first_pass(window, rounds), "key long, doc_id long, place long, places array<long>")
+    sent = F.when(F.col("places").isNull(), F.col("doc_id"))
+    marks = marks.withColumn("low", F.min(sent).over(by_key)).withColumn("high", F.max(sent).over(by_key)).filter("places is not null or low < high")
+    places = marks.groupBy("doc_id").agg(F.collect_list("place").alias("one"), F.flatten(F.collect_list("places")).alias("many"))
+    places = places.select("doc_id", F.concat("one", "many").alias("places"))
+    windows = docs.join(places, "doc_id").mapInArrow(_second_pass(window, rounds), "key long, check short, doc_id long, start long, stretches array<long>")
+    sent = F.when(F.col("stretches").isNull(), F.col("doc_id"))
+    taken = windows.withColumn("low", F.min(sent).over(W.partitionBy("key", "check"))).filter("stretches is not null or low < doc_id")
+    taken = taken.groupBy("doc_id").agg(F.collect_list("start").alias("starts"), F.flatten(F.collect_list("stretches")).alias("stretches"))
+    # Both joins read one exchange of the texts, whose plans are alike.
+    out = docs.join(taken, "doc_id", "left").select("doc_id", "text", "tag", "starts", "stretches").mapInArrow(_last_pass(window), "doc_id long, n_words long, n_removed long, kept_sha256 string, kept_text string")
+    return out.withColumn("doc_id", F.when(F.col("doc_id") >= -(1 << 61), F.col("doc_id")))
