@@ -305,13 +305,13 @@ u AS (SELECT score, count(*) FILTER (label = 1) AS pos, count(*) FILTER (label <
 v AS (SELECT *, sum(pos) OVER (ORDER BY score DESC)::DOUBLE AS t, sum(neg) OVER (ORDER BY score DESC)::DOUBLE AS f, sum(pos) OVER ()::DOUBLE AS np, sum(neg) OVER ()::DOUBLE AS nn FROM u),
 r AS (SELECT sum(neg * (t - pos) + 0.5 * neg * pos) / (max(np) * max(nn)) AS auc, sum(pos * t / (t + f)) / max(np) AS ap, min(f / nn) FILTER (t >= 0.95 * np - 1e-12) AS f95, min(f / nn) FILTER (t >= 0.99 * np - 1e-12) AS f99 FROM v),
 e AS (SELECT sum(abs(a - p) * k / (SELECT count(*) FROM sc)) AS ece FROM (SELECT b, count(*) AS k, avg(label) AS a, avg(score) AS p FROM (SELECT *, CASE {" ".join(f"WHEN score > {k * 0.1!r}::DOUBLE AND score <= {(k + 1) * 0.1!r}::DOUBLE THEN {k}" for k in range(10))} END AS b FROM sc) WHERE b IS NOT NULL GROUP BY b))
-SELECT round({_SAFE("tp + tn", "n")}, 4) AS accuracy, round({_SAFE("tp", "(tp + fp)")}, 4) AS precision, round({_SAFE("tp", "(tp + fn)")}, 4) AS recall, round({_SAFE("2 * tp", "(2 * tp + fp + fn)")}, 4) AS f1_binary,
+SELECT round({_SAFE("(tp + tn)", "n")}, 4) AS accuracy, round({_SAFE("tp", "(tp + fp)")}, 4) AS precision, round({_SAFE("tp", "(tp + fn)")}, 4) AS recall, round({_SAFE("2 * tp", "(2 * tp + fp + fn)")}, 4) AS f1_binary,
   round(({_SAFE("2 * tp", "(2 * tp + fp + fn)")} + {_SAFE("2 * tn", "(2 * tn + fp + fn)")}) / 2, 4) AS f1_macro, round(brier, 4) AS brier, tn::BIGINT AS tn, fp::BIGINT AS fp, fn::BIGINT AS fn, tp::BIGINT AS tp, n::BIGINT AS n_samples,
   round(auc, 4) AS roc_auc, round(ap, 4) AS pr_auc, round(f95, 4) AS fpr_at_95_tpr, round(f99, 4) AS fpr_at_99_tpr, round(ece, 4) AS ece FROM c, r, e"""
 CURVE = f"""WITH {_SCORES}, u AS (SELECT score, count(*) FILTER (label = 1) AS pos, count(*) FILTER (label <> 1) AS neg FROM sc GROUP BY score)
 SELECT score, pos::BIGINT AS pos, neg::BIGINT AS neg, sum(pos) OVER (ORDER BY score DESC)::BIGINT AS tp, sum(neg) OVER (ORDER BY score DESC)::BIGINT AS fp, sum(pos) OVER ()::BIGINT AS all_pos, sum(neg) OVER ()::BIGINT AS all_neg FROM u"""
 CALIBRATION = f"""WITH {_SCORES}, b AS (SELECT *, CASE {" ".join(f"WHEN score > {k * 0.1!r}::DOUBLE AND score <= {(k + 1) * 0.1!r}::DOUBLE THEN {k}" for k in range(10))} END AS bin FROM sc)
 SELECT bin::BIGINT AS bin, count(*)::BIGINT AS n, round(avg(label), 6)::DOUBLE AS accuracy, round(avg(score), 6) AS confidence, round(abs(avg(label) - avg(score)) * count(*) / (SELECT count(*) FROM sc), 6) AS gap FROM b WHERE bin IS NOT NULL GROUP BY bin"""
-SIGNALS = f"""WITH x AS (SELECT g.doc_id, sty_ttr, coalesce(sem_semantic_monotony_index, 0) AS m FROM ({GRAMS}) g JOIN ({SEM_SCALARS}) s USING (doc_id))
-SELECT doc_id, 'sty_ttr' AS feature, 'low' AS ai_indicative, round(sty_ttr, 4) AS value, 1.0::DOUBLE AS weight_impact FROM x UNION ALL SELECT doc_id, 'sem_semantic_monotony_index', 'high', round(m, 4), 1.0::DOUBLE FROM x"""
+SIGNALS = f"""WITH t AS (SELECT doc_id, {_tok("text")} AS tok FROM documents), x AS (SELECT doc_id, len(list_distinct(tok))::DOUBLE / len(tok) AS ttr, coalesce(sem_semantic_monotony_index, 0) AS m FROM t JOIN ({SEM_SCALARS}) s USING (doc_id) WHERE len(tok) > 0)
+SELECT doc_id, 'sty_ttr' AS feature, 'low' AS ai_indicative, round(ttr, 4) AS value, 1.0::DOUBLE AS weight_impact FROM x UNION ALL SELECT doc_id, 'sem_semantic_monotony_index', 'high', round(m, 4), 1.0::DOUBLE FROM x"""
 WINDOWS = """SELECT time_bucket(INTERVAL 5 MINUTE, ts) AS window_start, event_type, count(*)::BIGINT AS n FROM events GROUP BY ALL"""

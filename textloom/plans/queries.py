@@ -213,7 +213,7 @@ def stream_rule_score(spark, sf_dir):
 
 def stream_event_windows(spark, sf_dir):
     def count(stream):
-        return stream.withWatermark("ts", "10 minutes").groupBy(F.window("ts", "5 minutes").alias("w"), "event_type").agg(F.count("*").alias("n")).select(F.col("w.start").alias("window_start"), "event_type", "n")
+        return stream.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", "10 minutes").groupBy(F.window("ts", "5 minutes").alias("w"), "event_type").agg(F.count("*").alias("n")).select(F.col("w.start").cast("timestamp_ntz").alias("window_start"), "event_type", "n")
 
     return replay.replayed(spark, sf_dir, "events", count, "complete")
 
