@@ -8,6 +8,12 @@ from pyspark.sql import functions as F
 WORD, SPACE = r"[\p{L}\p{N}_]+", r"(?U)\s+"
 
 
+def let(x: Column, f) -> Column:
+    """f(x) with x evaluated once, whatever the optimiser inlines: a filter that is pushed through a projection brings x's whole
+    expression into f, and where f has a lambda, x would be evaluated for each of its elements."""
+    return F.get(F.transform(F.array(x), f), F.lit(0))
+
+
 def strip(x: Column) -> Column:
     """Without white space at both ends, line breaks included (trim() takes spaces only)."""
     return F.regexp_replace(x, r"(?U)^\s+|\s+$", "")
@@ -21,8 +27,9 @@ def tokens(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(WORD), F.lit(0))
 
 
-def alpha_tokens(tok: Column) -> Column:
-    return F.filter(tok, lambda w: F.regexp_like(w, F.lit("^[a-z]+$")))
+def alpha_tokens(text: Column) -> Column:
+    """Tokens made of ASCII letters only."""
+    return F.regexp_extract_all(F.lower(text), F.lit(r"(?<![\p{L}\p{N}_])[a-z]++(?![\p{L}\p{N}_])"), F.lit(0))
 
 
 def sentences(text: Column) -> Column:
@@ -43,8 +50,8 @@ def n_space_words(x: Column) -> Column:
 
 def ngrams(tok: Column, n: int) -> Column:
     """n-grams joined by a space; empty for fewer than n tokens."""
-    grams = F.transform(F.sequence(F.lit(1), F.size(tok) - (n - 1)), lambda i: F.array_join(F.slice(tok, i, n), " "))
-    return F.when(F.size(tok) >= n, grams).otherwise(F.array().cast("array<string>"))
+    grams = lambda w: F.transform(F.sequence(F.lit(1), F.size(w) - (n - 1)), lambda i: F.array_join(F.slice(w, i, n), " "))
+    return let(tok, lambda w: F.when(F.size(w) >= n, grams(w)).otherwise(F.array().cast("array<string>")))
 
 
 def starter(sentence: Column, cut: str | None = r"[.,!?:;]+$") -> Column:

@@ -33,6 +33,7 @@ def valid_requests(docs: DataFrame, least: int = 10, most: int = 250_000) -> Dat
 
 #: Fixed patterns of the rule score. Word borders are ASCII, whatever the Java version takes them for.
 _ZERO, _ODD = "[\\u200B-\\u200D\\uFEFF]", "[\\u0400-\\u04FF\\u0370-\\u03FF]"
+_RULE_SENTENCE = "(?<![^.!?])[^.!?]++[.!?]++"  # from the start of a run, so that runs without an end are scanned once
 _RULE_WORD = "(?:(?<![a-z0-9_])(?=[a-z0-9])|(?<=[a-z0-9_])(?='))[a-z0-9']+(?:(?<=[a-z0-9])(?![a-z0-9_])|(?<=')(?=[a-z0-9_]))"
 
 
@@ -44,7 +45,7 @@ def rule_score(docs: DataFrame) -> DataFrame:
     text = F.col("text")
     zero, odd = F.regexp_count(text, F.lit(_ZERO)), F.regexp_count(text, F.lit(_ODD))
     rows = docs.select("doc_id", normal_form(F.regexp_replace(F.coalesce(text, F.lit("")), _ZERO, "")).alias("clean"), (F.coalesce(zero + odd, F.lit(0)) > 0).alias("tampered"))
-    found = F.regexp_extract_all("clean", F.lit("[^.!?]+[.!?]+"), F.lit(0))
+    found = F.regexp_extract_all("clean", F.lit(_RULE_SENTENCE), F.lit(0))
     rows = rows.select("doc_id", "tampered", F.regexp_extract_all(F.lower("clean"), F.lit(_RULE_WORD), F.lit(0)).alias("w"), F.when(F.size(found) > 0, found).otherwise(F.array("clean")).alias("sent"))
     lengths = F.transform("sent", lambda s: F.regexp_count(s, F.lit("[A-Za-z0-9_]+")))
     n = F.greatest(F.size("w"), F.lit(1))

@@ -155,70 +155,77 @@ def sentence_variation(b: DataFrame) -> DataFrame:
 
 
 def gram_counts(b: DataFrame) -> DataFrame:
-    """(doc_id, n, gram, c, first): counts of 1-, 2- and 3-grams and where each occurs first."""
+    """(doc_id, n, gram, c): counts of 1-, 2- and 3-grams, from one pass over the tokens."""
     b = b.select("doc_id", T.tokens(F.col("text")).alias("tok"))
     size = F.size("tok")
     cut = lambda k: F.slice("tok", F.lit(k), F.greatest(size - (k - 1), F.lit(0)))
-    b = b.select("doc_id", F.posexplode(F.arrays_zip(F.col("tok").alias("a"), cut(2).alias("b"), cut(3).alias("c"))).alias("first", "t"))
+    b = b.select("doc_id", F.arrays_zip(F.col("tok").alias("a"), cut(2).alias("b"), cut(3).alias("c")).alias("ts")).select("doc_id", F.explode("ts").alias("t"))
     a, second, third = F.col("t.a"), F.col("t.b"), F.col("t.c")
-    grams = F.array(F.struct(F.lit(1).alias("n"), a.alias("gram")), F.struct(F.lit(2).alias("n"), F.concat(a, F.lit(" "), second).alias("gram")), F.struct(F.lit(3).alias("n"), F.concat(a, F.lit(" "), second, F.lit(" "), third).alias("gram")))
-    b = b.select("doc_id", "first", F.explode(grams).alias("g")).select("doc_id", "first", "g.n", "g.gram").filter("gram is not null")
-    return b.groupBy("doc_id", "n", "gram").agg(F.count("*").alias("c"), F.min("first").alias("first"))
-
-
-def _entropy_of(c: Column) -> Column:
-    return F.greatest(F.coalesce(F.log2(F.sum(c)) - F.sum(c * F.log2(c)) / F.sum(c), F.lit(0.0)), F.lit(0.0))
+    two = F.concat(a, F.lit(" "), second)
+    grams = F.array(F.struct(F.lit(1).alias("n"), a.alias("gram")), F.struct(F.lit(2).alias("n"), two.alias("gram")), F.struct(F.lit(3).alias("n"), F.concat(two, F.lit(" "), third).alias("gram")))
+    b = b.select("doc_id", F.explode(grams).alias("g")).select("doc_id", "g.n", "g.gram").filter("gram is not null")
+    return b.groupBy("doc_id", "n", "gram").agg(F.count("*").alias("c"))
 
 
 def gram_features(b: DataFrame) -> DataFrame:
-    """Entropies, repeat rates, ranks, coverage, hapax and HD-D, from one aggregation of all grams."""
-    grams = gram_counts(b)
-    of = lambda n: F.when(F.col("n") == n, F.col("c").cast("double"))
-    again = lambda n: T.ratio(F.count_if((F.col("n") == n) & (F.col("c") > 1)), F.count_if(F.col("n") == n))
-    ranked = F.array_sort(F.collect_list(F.when(F.col("n") == 1, F.struct((-F.col("c")).alias("c"), "first"))))  # a text's types
-    rows = grams.groupBy("doc_id").agg(
-        _entropy_of(of(1)).alias("h1"), _entropy_of(of(2)).alias("h2"), _entropy_of(of(3)).alias("h3"), again(2).alias("r2"), again(3).alias("r3"),
-        F.coalesce(F.sum(of(1)), F.lit(0.0)).alias("words"), F.count_if((F.col("n") == 1) & (F.col("c") == 1)).alias("once"), F.count_if(F.col("n") == 1).alias("types"), ranked.alias("ranked"),
+    """Entropies, repeat rates, ranks, coverage, hapax and HD-D.
+
+    All depend only on how many types have which count: ranks of types with one count are a stretch, whichever order
+    they take in it. So grams are reduced to (doc_id, n, c, types) first, a few rows per document.
+    """
+    counts = gram_counts(b).groupBy("doc_id", "n", "c").agg(F.count("*").cast("double").alias("t"))
+    c, t = F.col("c").cast("double"), F.col("t")
+    own = lambda n, x: F.coalesce(F.sum(F.when(F.col("n") == n, x)), F.lit(0.0))
+    entropy = lambda n: F.greatest(F.coalesce(F.log2(own(n, t * c)) - F.try_divide(own(n, t * c * F.log2(c)), own(n, t * c)), F.lit(0.0)), F.lit(0.0))
+    again = lambda n: T.ratio(own(n, F.when(c > 1, t)), own(n, t))
+    rows = counts.groupBy("doc_id").agg(
+        entropy(1).alias("h1"), entropy(2).alias("h2"), entropy(3).alias("h3"), again(2).alias("r2"), again(3).alias("r3"), own(1, t * c).alias("words"), own(1, F.when(c == 1, t)).alias("once"), own(1, t).alias("types"),
+        F.array_sort(F.collect_list(F.when(F.col("n") == 1, F.struct((-c).alias("m"), t.alias("t"))))).alias("by_count"),
     )
-    rows = rows.withColumn("cs", F.transform("ranked", lambda x: -x["c"])).drop("ranked")
-    n, cs = F.col("words"), F.col("cs")
-    sums = lambda f: F.aggregate(F.transform(cs, f), F.lit(0.0), lambda a, x: a + x)
-    mean = T.ratio(sums(lambda c, r: c.cast("double") * r), n)
-    rows = rows.withColumn("mean_rank", mean)
-    spread = sums(lambda c, r: c * (r - F.col("mean_rank")) * (r - F.col("mean_rank")))
-    # HD-D depends on counts only: one product for each distinct count, times its number of types.
-    chance = lambda c: 1 - F.aggregate(F.sequence(F.lit(0), F.lit(41)), F.lit(1.0), lambda a, i: a * F.greatest(n - c - i, F.lit(0.0)) / (n - i))
-    hdd = F.aggregate(F.transform(F.array_distinct(cs), lambda c: chance(c) * F.size(F.filter(cs, lambda d: d == c))), F.lit(0.0), lambda a, x: a + x)
-    cover = lambda k: T.ratio(F.aggregate(F.slice(cs, 1, k), F.lit(0.0), lambda a, c: a + c), n)
+    n = F.col("words")
+    zero = F.lit(0.0)
+    start = F.struct(*[zero.alias(k) for k in ("s", "r", "q", "top10", "top50", "hdd")])
+
+    def step(acc, x):
+        # s types come before; the ranks s .. s + t - 1 go to types of count c.
+        c, t, s = -x["m"], x["t"], acc["s"]
+        missed = F.aggregate(F.sequence(F.lit(0), F.lit(41)), F.lit(1.0), lambda a, i: a * F.greatest(n - c - i, zero) / (n - i))
+        squares = t * s * s + s * t * (t - 1) + t * (t - 1) * (2 * t - 1) / 6
+        first = lambda k: c * F.least(t, F.greatest(k - s, zero))
+        return F.struct((s + t).alias("s"), (acc["r"] + c * (t * s + t * (t - 1) / 2)).alias("r"), (acc["q"] + c * squares).alias("q"), (acc["top10"] + first(10)).alias("top10"), (acc["top50"] + first(50)).alias("top50"), F.when(n >= 42, acc["hdd"] + t * (1 - missed)).otherwise(zero).alias("hdd"))
+
+    rows = rows.withColumn("ranks", F.aggregate("by_count", start, step))
+    mean = T.ratio(F.col("ranks.r"), n)
+    spread = F.greatest(F.col("ranks.q") - n * mean * mean, zero)
     return rows.select(
         "doc_id",
         T.ratio(F.col("types"), n).alias("sty_ttr"),
-        F.when(n >= 42, hdd).otherwise(0.0).alias("sty_hd_d_score"),
+        F.col("ranks.hdd").alias("sty_hd_d_score"),
         T.ratio(F.col("once"), n).alias("sty_hapax"),
-        F.col("types").cast("double").alias("sty_unique_word_count"),
+        F.col("types").alias("sty_unique_word_count"),
         F.col("h1").alias("prd_unigram_entropy"),
         F.col("h2").alias("prd_bigram_entropy"),
         F.col("h3").alias("prd_trigram_entropy"),
         F.col("r2").alias("prd_bigram_repeat_rate"),
         F.col("r3").alias("prd_trigram_repeat_rate"),
-        F.col("mean_rank").alias("prd_avg_word_rank"),
+        mean.alias("prd_avg_word_rank"),
         F.sqrt(spread / F.greatest(n - 1, F.lit(1.0))).alias("prd_std_word_rank"),
-        cover(10).alias("prd_top10_coverage"),
-        cover(50).alias("prd_top50_coverage"),
+        T.ratio(F.col("ranks.top10"), n).alias("prd_top10_coverage"),
+        T.ratio(F.col("ranks.top50"), n).alias("prd_top50_coverage"),
         T.ratio(F.col("types"), n).alias("prd_new_word_rate"),
-        F.greatest(F.col("h2") - F.col("h1"), F.lit(0.0)).alias("prd_conditional_entropy"),
+        F.greatest(F.col("h2") - F.col("h1"), zero).alias("prd_conditional_entropy"),
     )
 
 
-def _factors(rows: Column, seen: str, limit: float = 0.72) -> Column:
+def _factors(rows: Column, seen, limit: float = 0.72) -> Column:
     """Words per factor: a segment ends where its share of new words falls to the limit.
 
-    A word is new in its segment if its last occurrence lies before the segment's start, so the state is three numbers.
+    A word is new in its segment if its last occurrence, seen(x), lies before the segment's start, so the state is four numbers.
     """
     start = F.struct(F.lit(0.0).alias("factors"), F.lit(0).alias("start"), F.lit(0).alias("types"), F.lit(0).alias("at"))
 
     def step(acc, x):
-        types = acc["types"] + F.when(x[seen].isNull() | (x[seen] < acc["start"]), 1).otherwise(0)
+        types = acc["types"] + F.when(F.coalesce(seen(x) < acc["start"], F.lit(True)), 1).otherwise(0)
         at = acc["at"] + 1
         full = types / (at - acc["start"]) <= limit
         return F.struct((acc["factors"] + F.when(full, 1.0).otherwise(0.0)).alias("factors"), F.when(full, at).otherwise(acc["start"]).alias("start"), F.when(full, 0).otherwise(types).alias("types"), at.alias("at"))
@@ -233,28 +240,28 @@ def _factors(rows: Column, seen: str, limit: float = 0.72) -> Column:
 
 def position_features(b: DataFrame) -> DataFrame:
     """MTLD, burstiness and vocabulary growth, from each token's distance to its neighbours of the same word."""
-    b = b.select("doc_id", T.tokens(F.col("text")).alias("tok")).select("doc_id", F.size("tok").alias("n"), F.posexplode("tok").alias("pos", "w"))
+    b = b.select("doc_id", T.tokens(F.col("text")).alias("tok")).select("doc_id", "tok", F.size("tok").alias("n")).select("doc_id", "n", F.posexplode("tok").alias("pos", "w"))
     own = W.partitionBy("doc_id", "w").orderBy("pos")
     rows = b.withColumn("prev", F.lag("pos").over(own)).withColumn("next", F.lead("pos").over(own))
     gap = (F.col("pos") - F.col("prev")).cast("double")
     block = F.floor(F.col("pos") / 50) * 50
     fresh = (block < F.col("n") - 50) & (F.col("prev").isNull() | (F.col("prev") < block))
-    back = F.when(F.col("next").isNotNull(), F.col("n") - 1 - F.col("next"))
     out = rows.groupBy("doc_id").agg(
         F.first("n").alias("n"), F.avg(gap).alias("m"), F.stddev_samp(gap).alias("s"), F.count(gap).alias("gaps"), F.count_if(fresh).alias("fresh"),
-        F.array_sort(F.collect_list(F.struct("pos", "prev"))).alias("ahead"), F.array_sort(F.collect_list(F.struct((F.col("n") - 1 - F.col("pos")).alias("pos"), back.alias("prev")))).alias("behind"),
+        F.array_sort(F.collect_list(F.struct("pos", "prev", "next"))).alias("ahead"),
     )
     windows = F.ceil((F.col("n") - 50) / 50)
     return out.select(
         "doc_id",
-        F.when(F.col("n") >= 10, (_factors(F.col("ahead"), "prev") + _factors(F.col("behind"), "prev")) / 2).otherwise(0.0).alias("sty_mtld_score"),
+        F.when(F.col("n") >= 10, (_factors(F.col("ahead"), lambda x: x["prev"]) + _factors(F.reverse("ahead"), lambda x: F.col("n") - 1 - x["next"])) / 2).otherwise(0.0).alias("sty_mtld_score"),
         F.when((F.col("n") >= 10) & (F.col("gaps") >= 2), T.ratio(F.col("s") - F.col("m"), F.col("s") + F.col("m"))).otherwise(0.0).alias("prd_burstiness"),
         F.when(F.col("n") >= 100, T.ratio(F.col("fresh") / 50.0, windows)).otherwise(0.0).alias("prd_vocab_growth_rate"),
     )
 
 
 def char_features(b: DataFrame) -> DataFrame:
-    rows = b.filter(F.size(T.tokens(F.col("text"))) > 0).select("doc_id", F.length("text").alias("n"), F.explode(F.split(F.lower("text"), "")).alias("ch"))
+    rows = b.filter(F.regexp_like("text", F.lit(T.WORD))).select("doc_id", F.length("text").alias("n"), F.split(F.lower("text"), "").alias("chs"))
+    rows = rows.select("doc_id", "n", F.explode("chs").alias("ch"))
     counts = rows.groupBy("doc_id", "n", "ch").agg(F.count("*").cast("double").alias("c"))
     share = F.col("c") / F.col("n")
     return counts.groupBy("doc_id").agg((-F.sum(share * F.log2(share))).alias("prd_char_entropy"))
@@ -262,7 +269,7 @@ def char_features(b: DataFrame) -> DataFrame:
 
 def semantic_scalars(b: DataFrame) -> DataFrame:
     text = F.col("text")
-    b = b.select("doc_id", T.alpha_tokens(T.tokens(text)).alias("w"), F.transform(T.sentences(text), lambda s: F.array_distinct(T.alpha_tokens(T.tokens(s)))).alias("sets"))
+    b = b.select("doc_id", T.alpha_tokens(text).alias("w"), F.transform(T.sentences(text), lambda s: F.array_distinct(T.alpha_tokens(s))).alias("sets"))
     n, size = F.size("sets"), F.size("w")
     cut = lambda k: F.slice("sets", F.lit(k), F.greatest(n - 1, F.lit(0)))
     b = b.withColumn("sims", F.zip_with(cut(1), cut(2), lambda x, y: T.ratio(F.size(F.array_intersect(x, y)), F.size(F.array_union(x, y)))))
@@ -284,18 +291,21 @@ def semantic_scalars(b: DataFrame) -> DataFrame:
 
 def cross_entropies(b: DataFrame, alpha: float = 0.1) -> DataFrame:
     """Cross-entropy and perplexity of a text under its own add-alpha smoothed bigram and trigram model."""
-    b = b.select("doc_id", T.alpha_tokens(T.tokens(F.col("text"))).alias("w"))
+    b = b.select("doc_id", T.alpha_tokens(F.col("text")).alias("w"))
     size = F.size("w")
     cut = lambda k: F.slice("w", F.lit(k), F.greatest(size - (k - 1), F.lit(0)))
+    # Whatever stands beside explode() is evaluated for each row that it makes; hence two steps.
     vocabulary = F.greatest(F.size(F.array_distinct("w")), F.lit(10)).alias("v")
-    b = b.select("doc_id", vocabulary, F.explode(F.arrays_zip(F.col("w").alias("a"), cut(2).alias("b"), cut(3).alias("c"))).alias("t"))
+    b = b.select("doc_id", vocabulary, F.arrays_zip(F.col("w").alias("a"), cut(2).alias("b"), cut(3).alias("c")).alias("ts"))
+    b = b.select("doc_id", "v", F.explode("ts").alias("t"))
     a, second, third = F.col("t.a"), F.col("t.b"), F.col("t.c")
     grams = F.array(F.struct(F.lit(2).alias("n"), a.alias("prefix"), second.alias("last")), F.struct(F.lit(3).alias("n"), F.concat(a, F.lit(" "), second).alias("prefix"), third.alias("last")))
     b = b.select("doc_id", "v", F.explode(grams).alias("g")).select("doc_id", "v", "g.*").filter("last is not null and prefix is not null")
+    # sum of c log((c + alpha) / (of + alpha v)) parts into sums by gram and by prefix: two hash aggregations, no window.
     counts = b.groupBy("doc_id", "v", "n", "prefix", "last").agg(F.count("*").cast("double").alias("c"))
-    counts = counts.withColumn("of", F.sum("c").over(W.partitionBy("doc_id", "n", "prefix")))
-    p = (F.col("c") + alpha) / (F.col("of") + alpha * F.col("v"))
-    h = lambda n: -F.sum(F.when(F.col("n") == n, F.col("c") * F.log2(p))) / F.sum(F.when(F.col("n") == n, F.col("c")))
+    counts = counts.groupBy("doc_id", "v", "n", "prefix").agg(F.sum(F.col("c") * F.log2(F.col("c") + alpha)).alias("own"), F.sum("c").alias("of"))
+    term = F.col("own") - F.col("of") * F.log2(F.col("of") + alpha * F.col("v"))
+    h = lambda n: -F.sum(F.when(F.col("n") == n, term)) / F.sum(F.when(F.col("n") == n, F.col("of")))
     out = counts.groupBy("doc_id").agg(h(2).alias("h2"), h(3).alias("h3"))
     columns = []
     for n in (2, 3):

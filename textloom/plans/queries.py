@@ -18,6 +18,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df in at least as many partitions as there are cores: small files have few row groups. Large inputs stay as they are read."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df._jdf.queryExecution().toRdd().getNumPartitions() >= cores else df.repartition(cores)
+
+
 def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
     """Doubles rounded; a negative zero becomes zero."""
     return df.select(*[(F.round(c, digits) + F.lit(0.0)).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
@@ -28,7 +34,7 @@ def _branch(f):
 
 
 def _docs(spark, sf_dir):
-    return table(spark, sf_dir, "documents")
+    return spread(table(spark, sf_dir, "documents"))
 
 
 def doc_text_stats(spark, sf_dir):
@@ -106,7 +112,7 @@ def leakage_report(spark, sf_dir):
 
 def _perturbed(f):
     def query(spark, sf_dir):
-        out = _docs(spark, sf_dir).repartition(features.partitions(_docs(spark, sf_dir)), "doc_id").select("doc_id", f(F.col("text"), F.col("doc_id")).alias("t"))
+        out = _docs(spark, sf_dir).select("doc_id", f(F.col("text"), F.col("doc_id")).alias("t"))
         return out.select("doc_id", F.length("t").cast("long").alias("perturbed_length"), F.md5("t").alias("digest"))
 
     return query
@@ -114,7 +120,7 @@ def _perturbed(f):
 
 def _tampered(spark, sf_dir):
     docs, key = _docs(spark, sf_dir), F.col("doc_id")
-    docs = docs.repartition(features.partitions(docs), "doc_id").select("doc_id", perturb.zero_width(F.col("text"), key, 0.06).alias("text"))
+    docs = docs.select("doc_id", perturb.zero_width(F.col("text"), key, 0.06).alias("text"))
     return docs.select("doc_id", perturb.homoglyph(F.col("text"), key, 0.09).alias("text"))
 
 
