@@ -1,14 +1,14 @@
 """84 text features per document in four families.
 
-Scalar features are array expressions over a document's tokens, sentences and paragraphs. Features of counts explode tokens and
-group by (doc_id, ...). documents are dealt by doc_id once, below all branches; each grouping and join then has its rows
-in place, so that the text is shuffled once however many families are asked for.
+Nearly all features are array expressions over a document's tokens, sentences and paragraphs, counts included: they are run lengths
+of sorted arrays, which takes a fraction of exploding and hash-grouping the same tokens. Characters and sentences are exploded and
+grouped by (doc_id, ...). Documents are dealt by doc_id once, below all branches; each grouping and join then has its
+rows in place, so that the text is shuffled once however many families are asked for.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import lexicons as L
@@ -154,54 +154,62 @@ def sentence_variation(b: DataFrame) -> DataFrame:
     return b.select("doc_id", F.when(F.col("n") > 0, T.ratio(T.deviation(F.col("slen")), T.mean(F.col("slen")))).otherwise(0.0).alias("prd_sentence_length_cv"))
 
 
-def gram_counts(b: DataFrame) -> DataFrame:
-    """(doc_id, n, gram, c): counts of 1-, 2- and 3-grams, from one pass over the tokens."""
-    b = b.select("doc_id", T.tokens(F.col("text")).alias("tok"))
-    size = F.size("tok")
-    cut = lambda k: F.slice("tok", F.lit(k), F.greatest(size - (k - 1), F.lit(0)))
-    b = b.select("doc_id", F.arrays_zip(F.col("tok").alias("a"), cut(2).alias("b"), cut(3).alias("c")).alias("ts")).select("doc_id", F.explode("ts").alias("t"))
-    a, second, third = F.col("t.a"), F.col("t.b"), F.col("t.c")
-    two = F.concat(a, F.lit(" "), second)
-    grams = F.array(F.struct(F.lit(1).alias("n"), a.alias("gram")), F.struct(F.lit(2).alias("n"), two.alias("gram")), F.struct(F.lit(3).alias("n"), F.concat(two, F.lit(" "), third).alias("gram")))
-    b = b.select("doc_id", F.explode(grams).alias("g")).select("doc_id", "g.n", "g.gram").filter("gram is not null")
-    return b.groupBy("doc_id", "n", "gram").agg(F.count("*").alias("c"))
+def run_counts(keys: Column) -> Column:
+    """How often each distinct key occurs, in the order of keys: lengths of the runs of the sorted array."""
+
+    def count(s):
+        heads = F.filter(F.sequence(F.lit(0), F.size(s) - 1), lambda i: (i == 0) | (F.get(s, i) != F.get(s, i - 1)))
+        return T.let(heads, lambda h: F.transform(h, lambda x, k: F.coalesce(F.get(h, k + 1), F.size(s)) - x))
+
+    none = F.array().cast("array<int>")
+    return F.coalesce(T.let(F.sort_array(keys), lambda s: F.when(F.size(s) > 0, count(s)).otherwise(none)), none)
+
+
+def gram_run_counts(tok: str, n: int, without: int = 0) -> Column:
+    """Counts of a token column's n-grams, the last `without` of them left out. Grams are told apart by 64-bit keys."""
+
+    def keys(t):
+        last = F.size(t) - (n - 1) - without
+        key = lambda i: F.xxhash64(*[F.get(t, i + k) for k in range(n)])
+        return F.when(last > 0, F.transform(F.sequence(F.lit(0), last - 1), key)).otherwise(F.array().cast("array<bigint>"))
+
+    return T.let(F.col(tok), lambda t: run_counts(keys(t)))
+
+
+def _sum(xs: Column, f) -> Column:
+    return F.aggregate(xs, F.lit(0.0), lambda a, x: a + f(x.cast("double")))
 
 
 def gram_features(b: DataFrame) -> DataFrame:
-    """Entropies, repeat rates, ranks, coverage, hapax and HD-D.
+    """Entropies, repeat rates, ranks, coverage, hapax and HD-D, from the counts of each document's own grams.
 
-    All depend only on how many types have which count: ranks of types with one count are a stretch, whichever order
-    they take in it. So grams are reduced to (doc_id, n, c, types) first, a few rows per document.
+    Counts are run lengths of sorted arrays: nothing is exploded, grouped or shuffled. Rank features depend on counts only,
+    as words of one count hold a stretch of ranks whichever order they take in it.
     """
-    counts = gram_counts(b).groupBy("doc_id", "n", "c").agg(F.count("*").cast("double").alias("t"))
-    c, t = F.col("c").cast("double"), F.col("t")
-    own = lambda n, x: F.coalesce(F.sum(F.when(F.col("n") == n, x)), F.lit(0.0))
-    entropy = lambda n: F.greatest(F.coalesce(F.log2(own(n, t * c)) - F.try_divide(own(n, t * c * F.log2(c)), own(n, t * c)), F.lit(0.0)), F.lit(0.0))
-    again = lambda n: T.ratio(own(n, F.when(c > 1, t)), own(n, t))
-    rows = counts.groupBy("doc_id").agg(
-        entropy(1).alias("h1"), entropy(2).alias("h2"), entropy(3).alias("h3"), again(2).alias("r2"), again(3).alias("r3"), own(1, t * c).alias("words"), own(1, F.when(c == 1, t)).alias("once"), own(1, t).alias("types"),
-        F.array_sort(F.collect_list(F.when(F.col("n") == 1, F.struct((-c).alias("m"), t.alias("t"))))).alias("by_count"),
+    b = b.select("doc_id", T.tokens(F.col("text")).alias("tok"))
+    b = b.select("doc_id", F.size("tok").cast("double").alias("n"), F.sort_array(run_counts(F.col("tok")), asc=False).alias("c1"), *[gram_run_counts("tok", k).alias(f"c{k}") for k in (2, 3)])
+    b = b.filter("n > 0")
+    n, zero = F.col("n"), F.lit(0.0)
+    one = F.col("c1")
+    entropy = lambda c, total: F.when(total > 0, F.greatest(F.log2(total) - _sum(c, lambda x: x * F.log2(x)) / total, zero)).otherwise(zero)
+    again = lambda c: T.ratio(F.size(F.filter(c, lambda x: x > 1)), F.size(c))
+    start = F.struct(*[zero.alias(k) for k in ("s", "r", "q")])
+    rank = lambda a, c: F.struct((a["s"] + 1).alias("s"), (a["r"] + c * a["s"]).alias("r"), (a["q"] + c * a["s"] * a["s"]).alias("q"))
+    missed = lambda c: F.aggregate(F.sequence(F.lit(0), F.lit(41)), F.lit(1.0), lambda a, i: a * F.greatest(n - c - i, zero) / (n - i))
+    hdd = F.aggregate(F.array_distinct(one), zero, lambda a, c: a + F.size(F.filter(one, lambda d: d == c)) * (1 - missed(c)))
+    top = lambda k: _sum(F.slice(one, 1, k), lambda c: c) / n
+    types = F.size(one).cast("double")
+    b = b.select(
+        "doc_id", "n", F.aggregate(one, start, rank).alias("ranks"), entropy(one, n).alias("h1"), entropy(F.col("c2"), n - 1).alias("h2"), entropy(F.col("c3"), n - 2).alias("h3"), again(F.col("c2")).alias("r2"), again(F.col("c3")).alias("r3"),
+        (types / n).alias("ttr"), types.alias("types"), (F.size(F.filter(one, lambda x: x == 1)) / n).alias("hapax"), F.when(n >= 42, hdd).otherwise(zero).alias("hdd"), top(10).alias("top10"), top(50).alias("top50"),
     )
-    n = F.col("words")
-    zero = F.lit(0.0)
-    start = F.struct(*[zero.alias(k) for k in ("s", "r", "q", "top10", "top50", "hdd")])
-
-    def step(acc, x):
-        # s types come before; the ranks s .. s + t - 1 go to types of count c.
-        c, t, s = -x["m"], x["t"], acc["s"]
-        missed = F.aggregate(F.sequence(F.lit(0), F.lit(41)), F.lit(1.0), lambda a, i: a * F.greatest(n - c - i, zero) / (n - i))
-        squares = t * s * s + s * t * (t - 1) + t * (t - 1) * (2 * t - 1) / 6
-        first = lambda k: c * F.least(t, F.greatest(k - s, zero))
-        return F.struct((s + t).alias("s"), (acc["r"] + c * (t * s + t * (t - 1) / 2)).alias("r"), (acc["q"] + c * squares).alias("q"), (acc["top10"] + first(10)).alias("top10"), (acc["top50"] + first(50)).alias("top50"), F.when(n >= 42, acc["hdd"] + t * (1 - missed)).otherwise(zero).alias("hdd"))
-
-    rows = rows.withColumn("ranks", F.aggregate("by_count", start, step))
-    mean = T.ratio(F.col("ranks.r"), n)
+    mean = F.col("ranks.r") / n
     spread = F.greatest(F.col("ranks.q") - n * mean * mean, zero)
-    return rows.select(
+    return b.select(
         "doc_id",
-        T.ratio(F.col("types"), n).alias("sty_ttr"),
-        F.col("ranks.hdd").alias("sty_hd_d_score"),
-        T.ratio(F.col("once"), n).alias("sty_hapax"),
+        F.col("ttr").alias("sty_ttr"),
+        F.col("hdd").alias("sty_hd_d_score"),
+        F.col("hapax").alias("sty_hapax"),
         F.col("types").alias("sty_unique_word_count"),
         F.col("h1").alias("prd_unigram_entropy"),
         F.col("h2").alias("prd_bigram_entropy"),
@@ -210,9 +218,9 @@ def gram_features(b: DataFrame) -> DataFrame:
         F.col("r3").alias("prd_trigram_repeat_rate"),
         mean.alias("prd_avg_word_rank"),
         F.sqrt(spread / F.greatest(n - 1, F.lit(1.0))).alias("prd_std_word_rank"),
-        T.ratio(F.col("ranks.top10"), n).alias("prd_top10_coverage"),
-        T.ratio(F.col("ranks.top50"), n).alias("prd_top50_coverage"),
-        T.ratio(F.col("types"), n).alias("prd_new_word_rate"),
+        F.col("top10").alias("prd_top10_coverage"),
+        F.col("top50").alias("prd_top50_coverage"),
+        F.col("ttr").alias("prd_new_word_rate"),
         F.greatest(F.col("h2") - F.col("h1"), zero).alias("prd_conditional_entropy"),
     )
 
@@ -238,24 +246,42 @@ def _factors(rows: Column, seen, limit: float = 0.72) -> Column:
     return F.aggregate(rows, start, step, end)
 
 
+def neighbours(tok: Column) -> Column:
+    """Array by position of (pos, prev, next): where the token stands, and where its word stands before and after.
+
+    Sorted by (word, position), a token's neighbours are next to it; sorted back by position, they are in text order.
+    """
+    placed = F.sort_array(F.transform(tok, lambda w, i: F.struct(F.xxhash64(w).alias("w"), w.alias("t"), i.alias("pos"))))
+
+    def link(s):
+        other = lambda x, i: F.when((F.get(s, i)["w"] == x["w"]) & (F.get(s, i)["t"] == x["t"]), F.get(s, i)["pos"])
+        return F.sort_array(F.transform(s, lambda x, i: F.struct(x["pos"].alias("pos"), other(x, i - 1).alias("prev"), other(x, i + 1).alias("next"))))
+
+    return T.let(placed, link)
+
+
 def position_features(b: DataFrame) -> DataFrame:
     """MTLD, burstiness and vocabulary growth, from each token's distance to its neighbours of the same word."""
-    b = b.select("doc_id", T.tokens(F.col("text")).alias("tok")).select("doc_id", "tok", F.size("tok").alias("n")).select("doc_id", "n", F.posexplode("tok").alias("pos", "w"))
-    own = W.partitionBy("doc_id", "w").orderBy("pos")
-    rows = b.withColumn("prev", F.lag("pos").over(own)).withColumn("next", F.lead("pos").over(own))
-    gap = (F.col("pos") - F.col("prev")).cast("double")
-    block = F.floor(F.col("pos") / 50) * 50
-    fresh = (block < F.col("n") - 50) & (F.col("prev").isNull() | (F.col("prev") < block))
-    out = rows.groupBy("doc_id").agg(
-        F.first("n").alias("n"), F.avg(gap).alias("m"), F.stddev_samp(gap).alias("s"), F.count(gap).alias("gaps"), F.count_if(fresh).alias("fresh"),
-        F.array_sort(F.collect_list(F.struct("pos", "prev", "next"))).alias("ahead"),
-    )
-    windows = F.ceil((F.col("n") - 50) / 50)
-    return out.select(
+    b = b.select("doc_id", T.tokens(F.col("text")).alias("tok")).filter(F.size("tok") > 0)
+    b = b.select("doc_id", F.size("tok").alias("n"), neighbours(F.col("tok")).alias("ahead"))
+    n, ahead = F.col("n"), F.col("ahead")
+    gap = lambda x: (x["pos"] - x["prev"]).cast("double")
+    start = F.struct(*[F.lit(0.0).alias(k) for k in ("k", "s", "q")], F.lit(0).alias("fresh"))
+
+    def step(a, x):
+        block = x["pos"] - x["pos"] % 50
+        fresh = (block < n - 50) & F.coalesce(x["prev"] < block, F.lit(True))
+        more = F.coalesce(gap(x), F.lit(0.0))
+        return F.struct((a["k"] + x["prev"].isNotNull().cast("double")).alias("k"), (a["s"] + more).alias("s"), (a["q"] + more * more).alias("q"), (a["fresh"] + fresh.cast("int")).alias("fresh"))
+
+    b = b.select("doc_id", "n", "ahead", F.aggregate(ahead, start, step).alias("g"))
+    k, mean = F.col("g.k"), F.col("g.s") / F.col("g.k")
+    spread = F.sqrt(F.greatest(F.col("g.q") - k * mean * mean, F.lit(0.0)) / (k - 1))
+    return b.select(
         "doc_id",
-        F.when(F.col("n") >= 10, (_factors(F.col("ahead"), lambda x: x["prev"]) + _factors(F.reverse("ahead"), lambda x: F.col("n") - 1 - x["next"])) / 2).otherwise(0.0).alias("sty_mtld_score"),
-        F.when((F.col("n") >= 10) & (F.col("gaps") >= 2), T.ratio(F.col("s") - F.col("m"), F.col("s") + F.col("m"))).otherwise(0.0).alias("prd_burstiness"),
-        F.when(F.col("n") >= 100, T.ratio(F.col("fresh") / 50.0, windows)).otherwise(0.0).alias("prd_vocab_growth_rate"),
+        F.when(n >= 10, (_factors(ahead, lambda x: x["prev"]) + _factors(F.reverse(ahead), lambda x: n - 1 - x["next"])) / 2).otherwise(0.0).alias("sty_mtld_score"),
+        F.when((n >= 10) & (k >= 2), T.ratio(spread - mean, spread + mean)).otherwise(0.0).alias("prd_burstiness"),
+        F.when(n >= 100, T.ratio(F.col("g.fresh") / 50.0, F.ceil((n - 50) / 50))).otherwise(0.0).alias("prd_vocab_growth_rate"),
     )
 
 
@@ -290,28 +316,24 @@ def semantic_scalars(b: DataFrame) -> DataFrame:
 
 
 def cross_entropies(b: DataFrame, alpha: float = 0.1) -> DataFrame:
-    """Cross-entropy and perplexity of a text under its own add-alpha smoothed bigram and trigram model."""
-    b = b.select("doc_id", T.alpha_tokens(F.col("text")).alias("w"))
+    """Cross-entropy and perplexity of a text under its own add-alpha smoothed bigram and trigram model.
+
+    The sum of c log((c + alpha) / (of + alpha v)) parts into sums over the counts c of grams and the counts of their prefixes.
+    """
+    b = b.select("doc_id", T.alpha_tokens(F.col("text")).alias("w")).filter(F.size("w") > 1)
     size = F.size("w")
-    cut = lambda k: F.slice("w", F.lit(k), F.greatest(size - (k - 1), F.lit(0)))
-    # Whatever stands beside explode() is evaluated for each row that it makes; hence two steps.
-    vocabulary = F.greatest(F.size(F.array_distinct("w")), F.lit(10)).alias("v")
-    b = b.select("doc_id", vocabulary, F.arrays_zip(F.col("w").alias("a"), cut(2).alias("b"), cut(3).alias("c")).alias("ts"))
-    b = b.select("doc_id", "v", F.explode("ts").alias("t"))
-    a, second, third = F.col("t.a"), F.col("t.b"), F.col("t.c")
-    grams = F.array(F.struct(F.lit(2).alias("n"), a.alias("prefix"), second.alias("last")), F.struct(F.lit(3).alias("n"), F.concat(a, F.lit(" "), second).alias("prefix"), third.alias("last")))
-    b = b.select("doc_id", "v", F.explode(grams).alias("g")).select("doc_id", "v", "g.*").filter("last is not null and prefix is not null")
-    # sum of c log((c + alpha) / (of + alpha v)) parts into sums by gram and by prefix: two hash aggregations, no window.
-    counts = b.groupBy("doc_id", "v", "n", "prefix", "last").agg(F.count("*").cast("double").alias("c"))
-    counts = counts.groupBy("doc_id", "v", "n", "prefix").agg(F.sum(F.col("c") * F.log2(F.col("c") + alpha)).alias("own"), F.sum("c").alias("of"))
-    term = F.col("own") - F.col("of") * F.log2(F.col("of") + alpha * F.col("v"))
-    h = lambda n: -F.sum(F.when(F.col("n") == n, term)) / F.sum(F.when(F.col("n") == n, F.col("of")))
-    out = counts.groupBy("doc_id").agg(h(2).alias("h2"), h(3).alias("h3"))
+    grams = {f"g{n}": gram_run_counts("w", n) for n in (2, 3)}
+    prefixes = {f"p{n}": gram_run_counts("w", n - 1, 1) for n in (2, 3)}
+    b = b.select("doc_id", size.alias("m"), F.greatest(F.size(F.array_distinct("w")), F.lit(10)).alias("v"), *[x.alias(k) for k, x in (grams | prefixes).items()])
+    for n in (2, 3):
+        own = _sum(F.col(f"g{n}"), lambda c: c * F.log2(c + alpha))
+        of = _sum(F.col(f"p{n}"), lambda c: c * F.log2(c + alpha * F.col("v")))
+        b = b.withColumn(f"h{n}", F.when(F.col("m") >= n, -(own - of) / (F.col("m") - (n - 1))))
     columns = []
     for n in (2, 3):
         x = F.col(f"h{n}")
         columns += [F.coalesce(F.round(x, 4), F.lit(0.0)).alias(f"sem_word_{n}gram_cross_entropy"), F.coalesce(F.round(F.least(F.pow(F.lit(2.0), x), F.lit(10000.0)), 4), F.lit(0.0)).alias(f"sem_word_{n}gram_perplexity")]
-    return out.select("doc_id", *columns)
+    return b.select("doc_id", *columns)
 
 
 #: Which branches a family needs.
