@@ -12,7 +12,7 @@ MACHINE = "\nFurthermore, the approach is crucial. Moreover, it is pivotal. In c
 def cases():
     rng = random.Random(1)
     vocabulary = ["the", "However,", "attribute", "authentic", "straße", "x_1", "don't", "rock'n'roll", "état.", "End!", "we", "could", "a", "b", "c?", "also", "—", '"', "Then", "42"]
-    out = ["", "\n \n", HUMAN, MACHINE, "the the the the the", "One.\n\nTwo two.\n\nThree three three.", "# Introduction\n\nText here. More.\n\n# Methods\nSHORT CAPS LINE\n" + "W " * 9 + "\n" + "W " * 10, None, "...", "a", "A. A. B."]
+    out = ["", "\n \n", HUMAN, MACHINE, "the the the the the", "One.\n\nTwo two.\n\nThree three three.", "# Introduction\n\nText here. More.\n\n# Methods\nSHORT CAPS LINE\n" + "W " * 9 + "\n" + "W " * 10, None, "...", "a", "A. A. B.", "one two", "état only", "x_ y9 é"]
     for n in (1, 2, 5, 6, 9, 10, 41, 42, 99, 100, 101, 150, 151, 400):
         out += [" ".join(rng.choice(vocabulary[: rng.choice([3, 20])]) for _ in range(n)), " ".join(f"w{rng.randint(0, 60)}" for _ in range(n)), "\n\n".join(" ".join(rng.choice(vocabulary) for _ in range(1 + n // 4)) for _ in range(4))]
     return out

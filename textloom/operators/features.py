@@ -1,9 +1,8 @@
 """84 text features per document in four families.
 
-Nearly all features are array expressions over a document's tokens, sentences and paragraphs, counts included: they are run lengths
-of sorted arrays, which takes a fraction of exploding and hash-grouping the same tokens. Characters and sentences are exploded and
-grouped by (doc_id, ...). Documents are dealt by doc_id once, below all branches; each grouping and join then has its
-rows in place, so that the text is shuffled once however many families are asked for.
+All features are array expressions over a document's tokens, sentences and paragraphs, counts included: those are run lengths of
+sorted arrays, which takes a fraction of exploding and hash-grouping the same tokens. A family's functions add columns to
+rows of (doc_id, text), and assemble() chains them, so that features of any number of documents cost one pass without joins.
 """
 
 from __future__ import annotations
@@ -40,24 +39,54 @@ FAMILIES = {"sty": STYLOMETRY, "str": STRUCTURAL, "prd": PREDICTABILITY, "sem":
 FEATURES = [f"{p}_{c}" for p, names in FAMILIES.items() for c in names]
 
 
-def partitions(docs: DataFrame) -> int:
-    """As many as shuffles have: stated, so that small texts with much work on them aren't coalesced to one task."""
-    return int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+#: What a family's columns stand beside by default; assemble() hands the columns of earlier families on.
+KEY = ("doc_id",)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """df in at least as many partitions as there are cores: small files have few row groups, and features take much work a row."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.isStreaming or df._jdf.queryExecution().toRdd().getNumPartitions() >= cores else df.repartition(cores)
 
 
 def base(docs: DataFrame, text: str = "text") -> DataFrame:
-    """doc_id and text, dealt by doc_id: the one exchange that all branches share."""
-    return docs.select("doc_id", F.coalesce(F.col(text), F.lit("")).alias("text")).repartition(partitions(docs), "doc_id")
+    """doc_id and text, in as many partitions as there are cores at least; large inputs stay as they are read, without a shuffle."""
+    return spread(docs.select("doc_id", F.coalesce(F.col(text), F.lit("")).alias("text")))
 
 
 def _zero(x: Column, when_empty: Column) -> Column:
     return F.when(when_empty, F.lit(0.0)).otherwise(x.cast("double"))
 
 
-def stylometry_scalars(b: DataFrame) -> DataFrame:
+def run_counts(keys: Column) -> Column:
+    """How often each distinct key occurs, in the order of keys: lengths of the runs of the sorted array."""
+
+    def count(s):
+        heads = F.filter(F.sequence(F.lit(0), F.size(s) - 1), lambda i: (i == 0) | (F.get(s, i) != F.get(s, i - 1)))
+        return T.let(heads, lambda h: F.transform(h, lambda x, k: F.coalesce(F.get(h, k + 1), F.size(s)) - x))
+
+    none = F.array().cast("array<int>")
+    return F.coalesce(T.let(F.sort_array(keys), lambda s: F.when(F.size(s) > 0, count(s)).otherwise(none)), none)
+
+
+def _sum(xs: Column, f) -> Column:
+    return F.aggregate(xs, F.lit(0.0), lambda a, x: a + f(x.cast("double")))
+
+
+def _entropy(counts: str, total: Column) -> Column:
+    """Bits per item of the distribution that counts give; 0 for none."""
+    return F.when(total > 0, F.greatest(F.log2(total) - T.ratio(_sum(F.col(counts), lambda x: x * F.log2(x)), total), F.lit(0.0))).otherwise(0.0)
+
+
+def _again(counts: str) -> Column:
+    """Share of distinct items that occur more than once."""
+    return T.ratio(F.size(F.filter(counts, lambda x: x > 1)), F.size(counts))
+
+
+def stylometry_scalars(b: DataFrame, keep: tuple[str, ...] = KEY) -> DataFrame:
     """Stylometric features that need no counts by token."""
-    tok, text = F.col("tok"), F.col("text")
-    b = b.select("doc_id", "text", F.lower(text).alias("lower"), T.tokens(text).alias("tok"), T.sentences(text).alias("sent"), T.paragraphs(text).alias("para"))
+    tok, text = F.col("tok"), F.col("_text")
+    b = b.select(*keep, F.col("text").alias("_text")).select(*keep, "_text", F.lower(text).alias("lower"), T.tokens(text).alias("tok"), T.sentences(text).alias("sent"), T.paragraphs(text).alias("para"))
     b = b.withColumn("len", F.transform("tok", F.length)).withColumn("slen", F.transform("sent", lambda s: F.size(T.tokens(s))))
     n, chars = F.size(tok), F.length(text)
     per_char = {"comma": ",", "period": ".", "question": "?", "exclamation": "!", "semicolon": ";", "colon": ":", "dash": "-—", "quote": "\"'“”"}
@@ -81,12 +110,12 @@ def stylometry_scalars(b: DataFrame) -> DataFrame:
         "discourse_marker_ratio": T.ratio(found, F.size("sent")),
         "contraction_ratio": T.ratio(F.regexp_count(text, F.lit(rf"{T.WORD}'{T.WORD}")), n),
     }
-    return b.select("doc_id", *[_zero(F.coalesce(x, F.lit(0)), n == 0).alias(f"sty_{k}") for k, x in out.items()])
+    return b.select(*keep, *[_zero(F.coalesce(x, F.lit(0)), n == 0).alias(f"sty_{k}") for k, x in out.items()])
 
 
-def structural_scalars(b: DataFrame) -> DataFrame:
-    text = F.col("text")
-    b = b.select("doc_id", "text", F.lower(text).alias("lower"), T.sentences(text).alias("sent"), T.paragraphs(text).alias("para"))
+def structural_scalars(b: DataFrame, keep: tuple[str, ...] = KEY) -> DataFrame:
+    text = F.col("_text")
+    b = b.select(*keep, F.col("text").alias("_text")).select(*keep, "_text", F.lower(text).alias("lower"), T.sentences(text).alias("sent"), T.paragraphs(text).alias("para"))
     b = b.withColumn("plen", F.transform("para", T.n_space_words)).withColumn("psent", F.transform("para", lambda p: F.size(T.sentences(p))))
     b = b.withColumn("slen", F.transform("sent", T.n_space_words)).withColumn("start", F.transform("sent", lambda s: T.starter(s))).withColumn("heads", F.size(T.headings(text)))
     for family, words in L.TRANSITIONS.items():
@@ -119,50 +148,24 @@ def structural_scalars(b: DataFrame) -> DataFrame:
         "sentence_length_trend": F.when(n >= 2, T.ratio(product, spread)).otherwise(0.0),
         "structure_score": 2.0 * (F.col("heads") > 0).cast("int") + F.least(F.size("para"), F.lit(10)) + F.least(F.col("transitions"), F.lit(20)) / 2.0 + 5.0 * diversity,
     }
-    return b.select("doc_id", *[_zero(F.coalesce(x, F.lit(0)), n == 0).alias(f"str_{k}") for k, x in out.items()])
+    return b.select(*keep, *[_zero(F.coalesce(x, F.lit(0)), n == 0).alias(f"str_{k}") for k, x in out.items()])
 
 
-def sentence_counts(b: DataFrame) -> DataFrame:
+def sentence_counts(b: DataFrame, keep: tuple[str, ...] = KEY) -> DataFrame:
     """Features of repeated sentences and of words that start sentences or paragraphs."""
     text = F.col("text")
     lower = lambda s: F.array_join(T.space_words(F.lower(s)), " ")
-    kinds = F.array(
-        F.struct(F.lit("start").alias("kind"), F.transform(T.sentences(text), lambda s: T.starter(s)).alias("xs")),
-        F.struct(F.lit("raw").alias("kind"), F.transform(T.sentences(text), lambda s: T.starter(s, None)).alias("xs")),
-        F.struct(F.lit("para").alias("kind"), F.transform(T.paragraphs(text), lambda s: T.starter(s)).alias("xs")),
-        F.struct(F.lit("whole").alias("kind"), F.transform(T.sentences(text), lower).alias("xs")),
-    )
-    rows = b.select("doc_id", F.explode(kinds).alias("k")).select("doc_id", "k.kind", F.explode("k.xs").alias("x"))
-    types = rows.groupBy("doc_id", "kind", "x").agg(F.count("*").alias("c"))
-
-    def repeated(kind):
-        own = F.col("kind") == kind
-        return T.ratio(F.count_if(own & (F.col("c") > 1)), F.count_if(own))
-
-    raw = F.when(F.col("kind") == "raw", F.col("c").cast("double"))
-    entropy = F.log2(F.sum(raw)) - F.sum(raw * F.log2(raw)) / F.sum(raw)
-    return types.groupBy("doc_id").agg(
-        repeated("start").alias("str_repeated_starter_ratio"),
-        repeated("para").alias("str_paragraph_start_repetition"),
-        repeated("whole").alias("prd_exact_sentence_repeat_rate"),
-        F.greatest(F.coalesce(entropy, F.lit(0.0)), F.lit(0.0)).alias("prd_sentence_start_entropy"),
-    )
-
+    b = b.select(*keep, T.sentences(text).alias("sent"), T.paragraphs(text).alias("para"))
+    if keep == KEY:
+        b = b.filter(F.size("sent") > 0)
+    kinds = {"start": F.transform("sent", lambda s: T.starter(s)), "raw": F.transform("sent", lambda s: T.starter(s, None)), "para": F.transform("para", lambda s: T.starter(s)), "whole": F.transform("sent", lower)}
+    b = b.select(*keep, *[run_counts(x).alias(k) for k, x in kinds.items()])
+    return b.select(*keep, _again("start").alias("str_repeated_starter_ratio"), _again("para").alias("str_paragraph_start_repetition"), _again("whole").alias("prd_exact_sentence_repeat_rate"), _entropy("raw", _sum(F.col("raw"), lambda c: c)).alias("prd_sentence_start_entropy"))
 
-def sentence_variation(b: DataFrame) -> DataFrame:
-    b = b.select("doc_id", F.size(T.tokens(F.col("text"))).alias("n"), F.transform(T.sentences(F.col("text")), T.n_space_words).alias("slen"))
-    return b.select("doc_id", F.when(F.col("n") > 0, T.ratio(T.deviation(F.col("slen")), T.mean(F.col("slen")))).otherwise(0.0).alias("prd_sentence_length_cv"))
 
-
-def run_counts(keys: Column) -> Column:
-    """How often each distinct key occurs, in the order of keys: lengths of the runs of the sorted array."""
-
-    def count(s):
-        heads = F.filter(F.sequence(F.lit(0), F.size(s) - 1), lambda i: (i == 0) | (F.get(s, i) != F.get(s, i - 1)))
-        return T.let(heads, lambda h: F.transform(h, lambda x, k: F.coalesce(F.get(h, k + 1), F.size(s)) - x))
-
-    none = F.array().cast("array<int>")
-    return F.coalesce(T.let(F.sort_array(keys), lambda s: F.when(F.size(s) > 0, count(s)).otherwise(none)), none)
+def sentence_variation(b: DataFrame, keep: tuple[str, ...] = KEY) -> DataFrame:
+    b = b.select(*keep, F.size(T.tokens(F.col("text"))).alias("n"), F.transform(T.sentences(F.col("text")), T.n_space_words).alias("slen"))
+    return b.select(*keep, F.when(F.col("n") > 0, T.ratio(T.deviation(F.col("slen")), T.mean(F.col("slen")))).otherwise(0.0).alias("prd_sentence_length_cv"))
 
 
 def gram_run_counts(tok: str, n: int, without: int = 0) -> Column:
@@ -176,37 +179,32 @@ def gram_run_counts(tok: str, n: int, without: int = 0) -> Column:
     return T.let(F.col(tok), lambda t: run_counts(keys(t)))
 
 
-def _sum(xs: Column, f) -> Column:
-    return F.aggregate(xs, F.lit(0.0), lambda a, x: a + f(x.cast("double")))
-
-
-def gram_features(b: DataFrame) -> DataFrame:
+def gram_features(b: DataFrame, keep: tuple[str, ...] = KEY) -> DataFrame:
     """Entropies, repeat rates, ranks, coverage, hapax and HD-D, from the counts of each document's own grams.
 
     Counts are run lengths of sorted arrays: nothing is exploded, grouped or shuffled. Rank features depend on counts only,
     as words of one count hold a stretch of ranks whichever order they take in it.
     """
-    b = b.select("doc_id", T.tokens(F.col("text")).alias("tok"))
-    b = b.select("doc_id", F.size("tok").cast("double").alias("n"), F.sort_array(run_counts(F.col("tok")), asc=False).alias("c1"), *[gram_run_counts("tok", k).alias(f"c{k}") for k in (2, 3)])
-    b = b.filter("n > 0")
+    b = b.select(*keep, T.tokens(F.col("text")).alias("tok"))
+    b = b.select(*keep, F.size("tok").cast("double").alias("n"), F.sort_array(run_counts(F.col("tok")), asc=False).alias("c1"), *[gram_run_counts("tok", k).alias(f"c{k}") for k in (2, 3)])
+    if keep == KEY:
+        b = b.filter("n > 0")
     n, zero = F.col("n"), F.lit(0.0)
     one = F.col("c1")
-    entropy = lambda c, total: F.when(total > 0, F.greatest(F.log2(total) - _sum(c, lambda x: x * F.log2(x)) / total, zero)).otherwise(zero)
-    again = lambda c: T.ratio(F.size(F.filter(c, lambda x: x > 1)), F.size(c))
     start = F.struct(*[zero.alias(k) for k in ("s", "r", "q")])
     rank = lambda a, c: F.struct((a["s"] + 1).alias("s"), (a["r"] + c * a["s"]).alias("r"), (a["q"] + c * a["s"] * a["s"]).alias("q"))
     missed = lambda c: F.aggregate(F.sequence(F.lit(0), F.lit(41)), F.lit(1.0), lambda a, i: a * F.greatest(n - c - i, zero) / (n - i))
     hdd = F.aggregate(F.array_distinct(one), zero, lambda a, c: a + F.size(F.filter(one, lambda d: d == c)) * (1 - missed(c)))
-    top = lambda k: _sum(F.slice(one, 1, k), lambda c: c) / n
+    top = lambda k: T.ratio(_sum(F.slice(one, 1, k), lambda c: c), n)
     types = F.size(one).cast("double")
     b = b.select(
-        "doc_id", "n", F.aggregate(one, start, rank).alias("ranks"), entropy(one, n).alias("h1"), entropy(F.col("c2"), n - 1).alias("h2"), entropy(F.col("c3"), n - 2).alias("h3"), again(F.col("c2")).alias("r2"), again(F.col("c3")).alias("r3"),
-        (types / n).alias("ttr"), types.alias("types"), (F.size(F.filter(one, lambda x: x == 1)) / n).alias("hapax"), F.when(n >= 42, hdd).otherwise(zero).alias("hdd"), top(10).alias("top10"), top(50).alias("top50"),
+        *keep, "n", F.aggregate(one, start, rank).alias("ranks"), _entropy("c1", n).alias("h1"), _entropy("c2", n - 1).alias("h2"), _entropy("c3", n - 2).alias("h3"), _again("c2").alias("r2"), _again("c3").alias("r3"),
+        T.ratio(types, n).alias("ttr"), types.alias("types"), T.ratio(F.size(F.filter(one, lambda x: x == 1)), n).alias("hapax"), F.when(n >= 42, hdd).otherwise(zero).alias("hdd"), top(10).alias("top10"), top(50).alias("top50"),
     )
-    mean = F.col("ranks.r") / n
+    mean = T.ratio(F.col("ranks.r"), n)
     spread = F.greatest(F.col("ranks.q") - n * mean * mean, zero)
     return b.select(
-        "doc_id",
+        *keep,
         F.col("ttr").alias("sty_ttr"),
         F.col("hdd").alias("sty_hd_d_score"),
         F.col("hapax").alias("sty_hapax"),
@@ -260,10 +258,12 @@ def neighbours(tok: Column) -> Column:
     return T.let(placed, link)
 
 
-def position_features(b: DataFrame) -> DataFrame:
+def position_features(b: DataFrame, keep: tuple[str, ...] = KEY) -> DataFrame:
     """MTLD, burstiness and vocabulary growth, from each token's distance to its neighbours of the same word."""
-    b = b.select("doc_id", T.tokens(F.col("text")).alias("tok")).filter(F.size("tok") > 0)
-    b = b.select("doc_id", F.size("tok").alias("n"), neighbours(F.col("tok")).alias("ahead"))
+    b = b.select(*keep, T.tokens(F.col("text")).alias("tok"))
+    if keep == KEY:
+        b = b.filter(F.size("tok") > 0)
+    b = b.select(*keep, F.size("tok").alias("n"), neighbours(F.col("tok")).alias("ahead"))
     n, ahead = F.col("n"), F.col("ahead")
     gap = lambda x: (x["pos"] - x["prev"]).cast("double")
     start = F.struct(*[F.lit(0.0).alias(k) for k in ("k", "s", "q")], F.lit(0).alias("fresh"))
@@ -274,28 +274,29 @@ def position_features(b: DataFrame) -> DataFrame:
         more = F.coalesce(gap(x), F.lit(0.0))
         return F.struct((a["k"] + x["prev"].isNotNull().cast("double")).alias("k"), (a["s"] + more).alias("s"), (a["q"] + more * more).alias("q"), (a["fresh"] + fresh.cast("int")).alias("fresh"))
 
-    b = b.select("doc_id", "n", "ahead", F.aggregate(ahead, start, step).alias("g"))
-    k, mean = F.col("g.k"), F.col("g.s") / F.col("g.k")
+    b = b.select(*keep, "n", "ahead", F.aggregate(ahead, start, step).alias("g"))
+    k, mean = F.col("g.k"), T.ratio(F.col("g.s"), F.col("g.k"))
     spread = F.sqrt(F.greatest(F.col("g.q") - k * mean * mean, F.lit(0.0)) / (k - 1))
     return b.select(
-        "doc_id",
+        *keep,
         F.when(n >= 10, (_factors(ahead, lambda x: x["prev"]) + _factors(F.reverse(ahead), lambda x: n - 1 - x["next"])) / 2).otherwise(0.0).alias("sty_mtld_score"),
         F.when((n >= 10) & (k >= 2), T.ratio(spread - mean, spread + mean)).otherwise(0.0).alias("prd_burstiness"),
         F.when(n >= 100, T.ratio(F.col("g.fresh") / 50.0, F.ceil((n - 50) / 50))).otherwise(0.0).alias("prd_vocab_growth_rate"),
     )
 
 
-def char_features(b: DataFrame) -> DataFrame:
-    rows = b.filter(F.regexp_like("text", F.lit(T.WORD))).select("doc_id", F.length("text").alias("n"), F.split(F.lower("text"), "").alias("chs"))
-    rows = rows.select("doc_id", "n", F.explode("chs").alias("ch"))
-    counts = rows.groupBy("doc_id", "n", "ch").agg(F.count("*").cast("double").alias("c"))
-    share = F.col("c") / F.col("n")
-    return counts.groupBy("doc_id").agg((-F.sum(share * F.log2(share))).alias("prd_char_entropy"))
+def char_features(b: DataFrame, keep: tuple[str, ...] = KEY) -> DataFrame:
+    worded = F.regexp_like("text", F.lit(T.WORD))
+    if keep == KEY:
+        b = b.filter(worded)
+    b = b.select(*keep, F.length("text").cast("double").alias("n"), run_counts(F.when(worded, F.split(F.lower("text"), ""))).alias("c"))
+    share = lambda x: x / F.col("n")
+    return b.select(*keep, (0.0 - _sum(F.col("c"), lambda x: share(x) * F.log2(share(x)))).alias("prd_char_entropy"))
 
 
-def semantic_scalars(b: DataFrame) -> DataFrame:
+def semantic_scalars(b: DataFrame, keep: tuple[str, ...] = KEY) -> DataFrame:
     text = F.col("text")
-    b = b.select("doc_id", T.alpha_tokens(text).alias("w"), F.transform(T.sentences(text), lambda s: F.array_distinct(T.alpha_tokens(s))).alias("sets"))
+    b = b.select(*keep, T.alpha_tokens(text).alias("w"), F.transform(T.sentences(text), lambda s: F.array_distinct(T.alpha_tokens(s))).alias("sets"))
     n, size = F.size("sets"), F.size("w")
     cut = lambda k: F.slice("sets", F.lit(k), F.greatest(n - 1, F.lit(0)))
     b = b.withColumn("sims", F.zip_with(cut(1), cut(2), lambda x, y: T.ratio(F.size(F.array_intersect(x, y)), F.size(F.array_union(x, y)))))
@@ -306,7 +307,7 @@ def semantic_scalars(b: DataFrame) -> DataFrame:
         return F.when(size >= 6, F.round(F.greatest(rate, F.lit(0.0)), 4)).otherwise(0.0)
 
     return b.select(
-        "doc_id",
+        *keep,
         F.round(mean, 4).alias("sem_inter_sentence_jaccard_mean"),
         F.round(spread, 4).alias("sem_inter_sentence_jaccard_std"),
         F.when(n >= 2, F.round(mean / (spread + 0.05), 4)).otherwise(0.0).alias("sem_semantic_monotony_index"),
@@ -315,16 +316,18 @@ def semantic_scalars(b: DataFrame) -> DataFrame:
     )
 
 
-def cross_entropies(b: DataFrame, alpha: float = 0.1) -> DataFrame:
+def cross_entropies(b: DataFrame, keep: tuple[str, ...] = KEY, alpha: float = 0.1) -> DataFrame:
     """Cross-entropy and perplexity of a text under its own add-alpha smoothed bigram and trigram model.
 
     The sum of c log((c + alpha) / (of + alpha v)) parts into sums over the counts c of grams and the counts of their prefixes.
     """
-    b = b.select("doc_id", T.alpha_tokens(F.col("text")).alias("w")).filter(F.size("w") > 1)
+    b = b.select(*keep, T.alpha_tokens(F.col("text")).alias("w"))
+    if keep == KEY:
+        b = b.filter(F.size("w") > 1)
     size = F.size("w")
     grams = {f"g{n}": gram_run_counts("w", n) for n in (2, 3)}
     prefixes = {f"p{n}": gram_run_counts("w", n - 1, 1) for n in (2, 3)}
-    b = b.select("doc_id", size.alias("m"), F.greatest(F.size(F.array_distinct("w")), F.lit(10)).alias("v"), *[x.alias(k) for k, x in (grams | prefixes).items()])
+    b = b.select(*keep, size.alias("m"), F.greatest(F.size(F.array_distinct("w")), F.lit(10)).alias("v"), *[x.alias(k) for k, x in (grams | prefixes).items()])
     for n in (2, 3):
         own = _sum(F.col(f"g{n}"), lambda c: c * F.log2(c + alpha))
         of = _sum(F.col(f"p{n}"), lambda c: c * F.log2(c + alpha * F.col("v")))
@@ -332,8 +335,8 @@ def cross_entropies(b: DataFrame, alpha: float = 0.1) -> DataFrame:
     columns = []
     for n in (2, 3):
         x = F.col(f"h{n}")
-        columns += [F.coalesce(F.round(x, 4), F.lit(0.0)).alias(f"sem_word_{n}gram_cross_entropy"), F.coalesce(F.round(F.least(F.pow(F.lit(2.0), x), F.lit(10000.0)), 4), F.lit(0.0)).alias(f"sem_word_{n}gram_perplexity")]
-    return b.select("doc_id", *columns)
+        columns += [F.coalesce(F.round(x, 4), F.lit(0.0)).alias(f"sem_word_{n}gram_cross_entropy"), F.coalesce(F.when(x.isNotNull(), F.round(F.least(F.pow(F.lit(2.0), x), F.lit(10000.0)), 4)), F.lit(0.0)).alias(f"sem_word_{n}gram_perplexity")]
+    return b.select(*keep, *columns)
 
 
 #: Which branches a family needs.
@@ -348,15 +351,15 @@ BRANCHES = {
 def assemble(docs: DataFrame, families: tuple[str, ...] = ("sty", "str", "prd", "sem"), text: str = "text") -> DataFrame:
     """doc_id and the families' features in their fixed order, as doubles; 0 where a text is too short for a feature.
 
-    doc_id must be unique. Null texts count as empty.
+    A chain of projections, row by row: no join, no aggregation and, after base(), no exchange. Null texts count as empty.
     """
-    b = base(docs, text)
-    out = b.select("doc_id")
+    b, keep = base(docs, text), ("doc_id", "text")
     for branch in dict.fromkeys(x for f in families for x in BRANCHES[f]):
-        out = out.join(branch(b), "doc_id", "left")
+        b = branch(b, keep)
+        keep = tuple(b.columns)
     if "prd" in families:
-        out = out.withColumn("prd_vocab_burstiness", F.lit(0.0))
-    return out.select("doc_id", *[F.coalesce(F.col(c), F.lit(0.0)).alias(c) for c in FEATURES if c[:3] in families])
+        b = b.withColumn("prd_vocab_burstiness", F.lit(0.0))
+    return b.select("doc_id", *[F.coalesce(F.col(c), F.lit(0.0)).alias(c) for c in FEATURES if c[:3] in families])
 
 
 def vector(features: DataFrame, columns: list[str] | None = None) -> DataFrame:

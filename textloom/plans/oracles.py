@@ -186,7 +186,7 @@ u AS (SELECT doc_id, v, 2 AS n, a AS prefix, b AS last FROM g WHERE b IS NOT NUL
 k AS (SELECT doc_id, v, n, prefix, last, count(*) AS c FROM u GROUP BY ALL),
 p AS (SELECT *, sum(c) OVER (PARTITION BY doc_id, n, prefix) AS total FROM k),
 h AS (SELECT doc_id, -sum(c * log2((c + 0.1) / (total + 0.1 * v))) FILTER (n = 2) / sum(c) FILTER (n = 2) AS h2, -sum(c * log2((c + 0.1) / (total + 0.1 * v))) FILTER (n = 3) / sum(c) FILTER (n = 3) AS h3 FROM p GROUP BY doc_id)
-SELECT doc_id, {", ".join(f"coalesce(round(h{n}::DOUBLE, 4), 0)::DOUBLE AS sem_word_{n}gram_cross_entropy, coalesce(round(least(pow(2, h{n}::DOUBLE), 10000), 4), 0)::DOUBLE AS sem_word_{n}gram_perplexity" for n in (2, 3))} FROM h"""
+SELECT doc_id, {", ".join(f"coalesce(round(h{n}::DOUBLE, 4), 0)::DOUBLE AS sem_word_{n}gram_cross_entropy, CASE WHEN h{n} IS NULL THEN 0 ELSE round(least(pow(2, h{n}::DOUBLE), 10000), 4) END::DOUBLE AS sem_word_{n}gram_perplexity" for n in (2, 3))} FROM h"""
 
 
 ALL = """SELECT d.doc_id, {} FROM documents d LEFT JOIN ({}) USING (doc_id)"""

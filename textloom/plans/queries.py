@@ -18,12 +18,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """df in at least as many partitions as there are cores: small files have few row groups. Large inputs stay as they are read."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if df._jdf.queryExecution().toRdd().getNumPartitions() >= cores else df.repartition(cores)
-
-
 def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
     """Doubles rounded; a negative zero becomes zero."""
     return df.select(*[(F.round(c, digits) + F.lit(0.0)).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
@@ -34,7 +28,7 @@ def _branch(f):
 
 
 def _docs(spark, sf_dir):
-    return spread(table(spark, sf_dir, "documents"))
+    return features.spread(table(spark, sf_dir, "documents"))
 
 
 def doc_text_stats(spark, sf_dir):
