@@ -164,8 +164,11 @@ def label_origins(spark, sf_dir):
 
 def generated_corpus(spark, sf_dir):
     """A corpus of generated samples and their humanised children, from sentences of the documents as banks."""
-    banks = _docs(spark, sf_dir).select("source", F.explode(T.sentences(F.col("text"))).alias("s")).groupBy("source").agg(F.slice(F.array_sort(F.collect_set(F.struct(F.xxhash64("s").alias("h"), "s"))), 1, 40).alias("b"))
-    bank = {r.source: [x.s for x in r.b] for r in banks.collect()}  # 40 sentences per source at most
+    sentences = _docs(spark, sf_dir).select("source", F.explode(T.sentences(F.col("text"))).alias("s")).withColumn("h", F.xxhash64("s"))
+    rows = sentences.groupBy("source", F.pmod("h", F.lit(40)).alias("slot")).agg(F.min(F.struct("h", "s")).alias("x"))  # 40 sentences a source
+    bank: dict[str, list[str]] = {}
+    for r in rows.orderBy("source", "slot").collect():
+        bank.setdefault(r.source, []).append(r.x.s)
     ai = corpora.generated_corpus(spark, bank, 10, "AI_RAW", generator="generated")
     rows = ai.unionByName(corpora.generated_corpus(spark, bank, 10, "HUMAN", seed=7)).unionByName(corpora.humanized_children(ai))
     return rows.select("sample_id", "origin", "domain", "generator", "humanizer", "transformation_severity", "parent_id", "word_count", "content_hash")

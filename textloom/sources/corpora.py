@@ -119,12 +119,16 @@ def ingest_labelled(spark: SparkSession, path: str, text_field: str = "text", la
     return canonical(rows)
 
 
+def _joined_hash(key: str, value: str) -> Column:
+    return F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(key, value))), lambda x: x[value]), ""), 256)
+
+
 def dataset_hash(rows: DataFrame, order: str = "sample_id") -> DataFrame:
-    """(content_hash): sha256 of all content hashes in order. Hashes of a few hundred key ranges are combined first, in order, so no
-    task gathers all rows."""
-    keyed = rows.select(F.col(order).alias("k"), "content_hash", F.substring(F.sha2(F.col(order).cast("string"), 256), 1, 2).alias("r"))
-    parts = keyed.groupBy("r").agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", "content_hash"))), lambda x: x["content_hash"]), ""), 256).alias("h"))
-    return parts.agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("r", "h"))), lambda x: x["h"]), ""), 256).alias("content_hash"))
+    """(content_hash): sha256 of all content hashes in a fixed order, as a tree: ranges of 1 / 65536 of the keys' hashes, then 256 of
+    them, then those. So no task gathers more than 1 / 65536 of the rows."""
+    leaves = rows.select(F.col(order).alias("k"), "content_hash", F.substring(F.sha2(F.col(order).cast("string"), 256), 1, 4).alias("r")).groupBy("r").agg(_joined_hash("k", "content_hash").alias("h"))
+    nodes = leaves.groupBy(F.substring("r", 1, 2).alias("q")).agg(_joined_hash("r", "h").alias("h"))
+    return nodes.agg(_joined_hash("q", "h").alias("content_hash"))
 
 
 def plain_dataset_hash(rows: DataFrame, order: str = "sample_id") -> DataFrame:
