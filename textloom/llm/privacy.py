@@ -4,10 +4,11 @@ Only DataFrame functions are used. Matches of the patterns are protected entitie
 entity are its context; over the corpus, n(c) rows hold entity c, n(t) rows hold term t anywhere, and n(c, t) rows hold t in a
 context of c. A term reveals c where its pointwise mutual information log2(N n(c, t) / (n(c) n(t))) is at least DISCLOSURE of
 c's information log2(N / n(c)), given SUPPORT distinct texts. Where it is REMOVAL at least, the term is removed, else
-generalised to the entity's kind. Its occurrences in contexts of c become spans of kind `term`.
+generalised to the entity's kind. Its occurrences become spans of kind `term`: all of them in all texts with `everywhere`,
+where the action is the strictest of the entities it reveals, else those in contexts of c.
 
 All counts cover all rows; (entity, term) and term counts are partial aggregates, and revealing terms are joined to the
-occurrences they were counted from, never to an entity's whole rows. Null texts are empty. Repeated rows count in n(c),
+terms of texts, broadcast where they are few, else over salted keys, never to an entity's whole rows. Null texts are empty. Repeated rows count in n(c),
 n(t) and N, but not as further distinct texts; each gets its result.
 """
 
@@ -28,6 +29,8 @@ CARD = "[0-9](?:[\\x20-]?[0-9])++"
 PHONE = "\\+[0-9][\\x20().0-9-]+[0-9]"
 TERM = "\\p{L}[\\p{L}\\p{N}_']{2,}"
 REACH, SUPPORT, DISCLOSURE, REMOVAL = 80, 3, 0.8, 0.95
+#: Most bytes of revealing terms that are broadcast, and the parts a term's rows are dealt to beyond that.
+TERM_BYTES, SALTS = 1 << 20, 32
 
 
 def _digits(x: Column) -> Column:
@@ -104,7 +107,24 @@ def revealing_terms(rows: DataFrame, docs: DataFrame, found: DataFrame, support:
     return out.filter(F.col("ratio") >= disclosure).select("entity", "term", "n_c", "n_t", "n_ct", "ratio")
 
 
-def personal_data(docs: DataFrame, reach: int = REACH, support: int = SUPPORT, disclosure: float = DISCLOSURE, removal: float = REMOVAL) -> DataFrame:
+def _term_spans(docs: DataFrame, terms: DataFrame, term_bytes: int) -> DataFrame:
+    """(rid, extra): spans of all occurrences of terms (term, value) in whole texts."""
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).select(row_key().alias("rid"), "text")
+    words = F.transform(F.regexp_extract_all("text", F.lit(TERM), F.lit(0)), lambda w: F.lower(w))
+    words = texts.select("rid", F.explode(F.array_distinct(words)).alias("term"))
+    size = terms.agg(F.sum(F.octet_length("term"))).first()[0] or 0
+    if size <= term_bytes:
+        held = words.join(F.broadcast(terms), "term")
+    else:
+        dealt = terms.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        held = words.withColumn("salt", F.pmod("rid", F.lit(SALTS)).cast("int")).join(dealt, ["term", "salt"])
+    held = held.groupBy("rid").agg(F.map_from_entries(F.collect_set(F.struct("term", "value"))).alias("held"))  # at most a text's terms
+    hits = spans(F.col("text"), TERM, 4, lambda hit, _: F.map_contains_key("held", F.lower(hit)))
+    each = texts.join(held, "rid").dropDuplicates(["rid"]).select("rid", "held", hits.alias("hits"))
+    return each.select("rid", F.transform("hits", lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end"), F.element_at("held", F.lower(s["value"])).alias("value"))).alias("extra"))
+
+
+def personal_data(docs: DataFrame, reach: int = REACH, support: int = SUPPORT, disclosure: float = DISCLOSURE, removal: float = REMOVAL, everywhere: bool = True, term_bytes: int = TERM_BYTES) -> DataFrame:
     """doc_id, rid, base, spans (sorted arrays of (start, kind, end, value)); a term's value says what becomes of it."""
     prepare(docs.sparkSession)
     rows = _measured(docs, reach).checkpoint()
@@ -112,11 +132,17 @@ def personal_data(docs: DataFrame, reach: int = REACH, support: int = SUPPORT, d
     terms = revealing_terms(rows, docs, found, support, disclosure)
     kinds = F.array(*[F.lit(f"[{k}]") for k in KINDS])
     action = F.when(F.col("ratio") >= removal, "").otherwise(F.get(kinds, F.col("of")))
-    told = found.join(terms, ["entity", "term"]).select("rid", "start", "end", action.alias("value"))
-    told = told.groupBy("rid", "start", "end").agg(F.min("value").alias("value"))
-    told = told.groupBy("rid").agg(F.collect_list(F.struct("start", F.lit(4).alias("kind"), "end", "value")).alias("extra"))  # at most a text's terms
+    if everywhere:
+        kind_of = F.substring_index("entity", ":", 1).cast("int").alias("of")
+        terms = terms.select("term", "ratio", kind_of).select("term", action.alias("value")).groupBy("term").agg(F.min("value").alias("value")).checkpoint()
+        told = _term_spans(docs, terms, term_bytes)
+    else:
+        told = found.join(terms, ["entity", "term"]).select("rid", "start", "end", action.alias("value"))
+        told = told.groupBy("rid", "start", "end").agg(F.min("value").alias("value"))
+        told = told.groupBy("rid").agg(F.collect_list(F.struct("start", F.lit(4).alias("kind"), "end", "value")).alias("extra"))  # at most a text's terms
     out = rows.join(told, "rid", "left")
     extra = F.coalesce(F.col("extra").cast(f"array<{SPAN}>"), none())
+    extra = F.filter(extra, lambda s: ~F.exists("base", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])))
     return out.select("doc_id", "rid", "base", F.array_sort(F.concat("base", extra)).alias("spans"))
 
 
@@ -129,7 +155,10 @@ def sanitise(docs: DataFrame, **limits) -> DataFrame:
     return texts.join(found, "rid").select("doc_id", masked(F.col("text"), F.col("spans"), label).alias("clean_text"))
 
 
-def privacy_report(docs: DataFrame) -> DataFrame:
-    """doc_id, counts by kind, base_sha256 and spans as text, one row per row of docs."""
+def privacy_report(docs: DataFrame, everywhere: bool = False, **limits) -> DataFrame:
+    """doc_id, counts by kind, base_sha256 and spans as text, one row per row of docs.
+
+    Terms are reported in the contexts of their entities, or everywhere; the registered query asks for everywhere.
+    """
     found = F.col("spans")
-    return personal_data(docs).select("doc_id", *[count_of(found, k).alias(f"n_{name}") for k, name in enumerate(KINDS)], F.sha2(shown(F.col("base"), KINDS), 256).alias("base_sha256"), shown(found, KINDS).alias("spans"))
+    return personal_data(docs, everywhere=everywhere, **limits).select("doc_id", *[count_of(found, k).alias(f"n_{name}") for k, name in enumerate(KINDS)], F.sha2(shown(F.col("base"), KINDS), 256).alias("base_sha256"), shown(found, KINDS).alias("spans"))

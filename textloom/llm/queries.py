@@ -35,7 +35,7 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return privacy.privacy_report(table(spark, sf_dir, "documents"))
+    return privacy.privacy_report(table(spark, sf_dir, "documents"), everywhere=True)
 
 
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
