@@ -4,7 +4,9 @@ A text is the set of its five-word shingles (words are runs without ASCII white
 words is one shingle). Each of `runs` runs samples about 1/threshold of a set's shingles by a hash that all sets share,
 and each sampled shingle is a bucket: two sets of similarity s >= threshold meet in a run with probability 1 - 1/e at least,
 so that exp(-runs) bounds what is missed. Buckets of more than `small` sets are split by a further shared shingle, drawn
-from the bucket's path, up to `depth` times. Small buckets are brute-forced for candidate links; buckets that stay large share
+from the bucket's path, up to `depth` times. Sets of few shingles have too few draws for that, so pairs with a set below SHORT
+shingles are also found without chance: sets are ordered by how many short sets hold a shingle, and two similar ones share one
+in their prefixes. Small buckets are brute-forced for candidate links; buckets that stay large share
 `depth` drawn shingles and are taken as one dense candidate group. Candidate links are closed to groups, and within a
 group every pair is compared exactly, by incidence products over blocks of bounded size: no pair is dropped for a group's
 size, and no pair becomes a row.
@@ -27,6 +29,8 @@ _U = np.uint64
 SHINGLE, THRESHOLD, RUNS, SMALL, DEPTH = 5, 0.8, 16, 24, 4
 #: A meeting in a small bucket weighs more the longer its path; candidates need this share of the sampled shingles.
 WEIGHTS, SHARE = (1.0, 1.5, 2.5, 4.0), 0.15
+#: Pairs with a set of fewer shingles are found by prefixes, exactly.
+SHORT = 20
 #: Bounds of one block of a group: sets, and shingles in all.
 BLOCK_SETS, BLOCK_SHINGLES = 4096, 1_500_000
 
@@ -102,6 +106,38 @@ def _candidates(paths: DataFrame, small: int, depth: int, share: float) -> DataF
     return close.filter(F.col("met") >= share * F.col("least")).select("u", "v").union(dense)
 
 
+def _short_sets(most: int):
+    """Rows (doc, sh): all shingles of the sets of at most `most` shingles."""
+
+    def run(batches):
+        for batch in batches:
+            for part in slices(batch):
+                row, sh = shingles(*word_table(part))
+                own = np.bincount(row, minlength=len(part))[row] <= most
+                row, sh = row[own], sh[own]
+                if len(row):
+                    yield pa.RecordBatch.from_arrays([pa.array(part.column("doc").to_numpy()[row]), pa.array(sh.view(np.int64))], ["doc", "sh"])
+
+    return run, "doc long, sh long"
+
+
+def _short_candidates(sets: DataFrame, small: int, thousandths: int) -> DataFrame:
+    """Candidate links (u, v) among short sets, none missing: close pairs of small prefix buckets, and stars over large ones."""
+    often = sets.groupBy("sh").agg(F.count("*").alias("n")).filter(F.col("n") > small)
+    ranked = sets.join(often, "sh", "left").select("doc", F.struct(F.coalesce("n", F.lit(0)).alias("n"), "sh").alias("x"))
+    own = ranked.groupBy("doc").agg(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["sh"]).alias("own"))  # short sets only
+    size = F.size("own")
+    prefix = size - F.ceil(size * thousandths / F.lit(1000) - 1e-9).cast("int") + 1
+    rows = own.select("doc", "own", F.explode(F.slice("own", F.lit(1), prefix)).alias("sh"))
+    counts = rows.groupBy("sh").agg(F.count("*").alias("n_in"), F.min("doc").alias("low")).filter("n_in > 1")
+    split = rows.join(counts, "sh").checkpoint()
+    met = split.filter(F.col("n_in") <= small)
+    pairs = met.select("sh", F.col("doc").alias("u"), "own").join(met.select("sh", F.col("doc").alias("v"), F.col("own").alias("other")), "sh").filter("u > v")
+    close = F.size(F.array_intersect("own", "other")) * (1000 + thousandths) >= thousandths * (F.size("own") + F.size("other"))
+    dense = split.filter(F.col("n_in") > small).select(F.col("doc").alias("u"), F.col("low").alias("v")).filter("u <> v")
+    return pairs.filter(close).select("u", "v").union(dense)
+
+
 def _common(row_a, sh_a, n_a, row_b, sh_b, n_b) -> np.ndarray:
     """Sizes of the intersections of two lists of sets; rare shingles by enumeration, frequent ones by products."""
     out = np.zeros(n_a * n_b, np.float32)
@@ -240,9 +276,13 @@ def near_duplicate_classes(docs: DataFrame, threshold: float = THRESHOLD, runs:
     members = sums.join(firsts, ["a", "b"]).select("doc_id", "doc", "chars", "first", "n_copies").checkpoint()
     reps = members.filter("doc = first").select("doc", "chars", F.col("n_copies").alias("copies")).distinct()
     texts = keyed.select("doc", "text")
+    copies = members.filter("doc <> first").select("doc")
     run, schema = _paths(runs, threshold, depth)
-    paths = texts.mapInArrow(run, schema).join(members.filter("doc <> first").select("doc"), "doc", "left_anti").checkpoint()
-    groups = components(_candidates(paths, small, depth, SHARE)).withColumnRenamed("node", "doc").join(reps, "doc").checkpoint()
+    paths = texts.mapInArrow(run, schema).join(copies, "doc", "left_anti").checkpoint()
+    run, schema = _short_sets(int(SHORT / threshold))
+    short = texts.mapInArrow(run, schema).join(copies, "doc", "left_anti").distinct().checkpoint()
+    candidates = _candidates(paths, small, depth, SHARE).union(_short_candidates(short, small, round(threshold * 1000)))
+    groups = components(candidates).withColumnRenamed("node", "doc").join(reps, "doc").checkpoint()
 
     # A large group's sets are dealt by hash into parts of bounded size; each pair of parts is a cell.
     parts = F.ceil(F.greatest(F.count("*") / BLOCK_SETS, F.sum("chars") / (6 * BLOCK_SHINGLES), F.lit(1))).cast("int")
