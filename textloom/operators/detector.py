@@ -135,7 +135,7 @@ def ablation(rows: DataFrame, trees: int = 100, depth: int = 6) -> DataFrame:
     return out
 
 
-def adversarial_benchmark(docs: DataFrame, labels: DataFrame, severity: float = 0.6, kinds: tuple[str, ...] = ("zero_width", "homoglyph", "synonym", "humanizer"), trees: int = 20, depth: int = 5) -> DataFrame:
+def adversarial_benchmark(docs: DataFrame, labels: DataFrame, severity: float = 0.6, kinds: tuple[str, ...] = ("zero_width", "homoglyph", "synonym", "humanizer")) -> DataFrame:
     """(model, attack, metrics): three models on clean test texts and under attacks.
 
     Only texts with label 1 are attacked, and only the boosted model sees sanitised texts. All variants are one table with an
@@ -151,8 +151,8 @@ def adversarial_benchmark(docs: DataFrame, labels: DataFrame, severity: float =
     varied = assemble(rough.unionByName(tidy)).withColumn("attack", parts[1]).withColumn("form", parts[2]).withColumn("doc", parts[0].cast("long"))
     varied = varied.join(tested.select(F.col("doc_id").alias("doc"), "label"), "doc").persist()
     train, test, out = clean.filter("split = 'train'"), clean.filter("split = 'test'").withColumn("attack", F.lit("clean")), None
-    for kind, form in (("logistic", "raw"), ("forest", "raw"), ("boosted", "sanitised")):
-        model = Detector(kind, trees, depth).fit(train)
+    for form, model in (("raw", Detector("logistic")), ("raw", Detector("forest", 100, 6)), ("sanitised", Detector("boosted", 120, 5))):
+        kind, model = model.kind, model.fit(train)
         every = test.select("attack", "label", *FEATURES).unionByName(varied.filter(F.col("form") == form).select("attack", "label", *FEATURES))
         one = metrics.evaluate(model.predict_proba(every).withColumnRenamed("ai_probability", "score"), by=["attack"]).select(F.lit(kind).alias("model"), "*")
         out = one if out is None else out.unionByName(one)
