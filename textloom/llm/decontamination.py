@@ -10,7 +10,7 @@ of the item's shingles in the whole document.
 
 Words are lower-cased and split at white space and ASCII punctuation. Items of fewer than five words have no shingle and match
 nothing, as do null and empty texts on either side. Items are a stated query set: they are taken in blocks of
-bounded size, each broadcast. Repeated rows give repeated results; equal items each match.
+bounded size, each broadcast. Repeated rows give repeated results; equal items each match, those without an item_id too, which show null for it.
 """
 
 from __future__ import annotations
@@ -44,9 +44,9 @@ def shingle_runs(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 class Index:
     """Items by size class: for each class the shingles that are minima, sorted, with (item, number of the hash)."""
 
-    def __init__(self, ids: list[int], texts: list[str]):
+    def __init__(self, ids: list[int | None], texts: list[str]):
         runs, into = shingle_runs(pa.array(texts, pa.string()))
-        self.ids, self.sets = np.array(ids, np.int64), [np.unique(runs[a:b]) for a, b in zip(into, into[1:], strict=False)]
+        self.ids, self.sets = list(ids), [np.unique(runs[a:b]) for a, b in zip(into, into[1:], strict=False)]
         rows: dict[int, list] = {}
         for item, own in enumerate(self.sets):
             if len(own):
@@ -86,7 +86,7 @@ class Index:
                 found.append(np.stack([row[good], item[e[good]]], 1))
         return np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 2), np.int64)
 
-    def search(self, column: pa.Array, containment: float) -> list[tuple[int, int, int, int]]:
+    def search(self, column: pa.Array, containment: float) -> list[tuple[int, int | None, int, int]]:
         """(row, item_id, shared shingles, the item's shingles) of each match."""
         runs, into = shingle_runs(column)
         out = []
@@ -94,13 +94,13 @@ class Index:
             own = self.sets[item]
             shared = int(np.isin(own, runs[into[row] : into[row + 1]]).sum())
             if shared >= containment * len(own) - 1e-9:
-                out.append((row, int(self.ids[item]), shared, len(own)))
+                out.append((row, self.ids[item], shared, len(own)))
         return out
 
 
 def _blocks(items: DataFrame, block_bytes: int):
     """Broadcast indexes of the items, block by block."""
-    items = items.filter("text is not null and item_id is not null").select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
+    items = items.filter("text is not null").select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
     total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = max(1, -(-total // block_bytes))
     for k in range(n):
@@ -118,8 +118,9 @@ def find_leaks(docs: DataFrame, items: DataFrame, containment: float = CONTAINME
             for batch in batches:
                 for part in slices(batch):
                     if found := index.value.search(part.column("text"), containment):
-                        row, item, shared, size = (np.array(x) for x in zip(*found, strict=True))
-                        yield pa.RecordBatch.from_arrays([part.column("doc_id").take(pa.array(row)), *(pa.array(x) for x in (item, shared, size, shared / size))], ["doc_id", "item_id", "n_shared", "n_item", "containment"])
+                        row, item, shared, size = zip(*found, strict=True)
+                        shared, size = np.array(shared), np.array(size)
+                        yield pa.RecordBatch.from_arrays([part.column("doc_id").take(pa.array(row)), pa.array(item, pa.int64()), *(pa.array(x) for x in (shared, size, shared / size))], ["doc_id", "item_id", "n_shared", "n_item", "containment"])
 
         return run
 
