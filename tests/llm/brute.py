@@ -69,6 +69,16 @@ def classes(rows, threshold=0.8):
     return {d: (find(d), len(links[d])) for d in sets}
 
 
+def row_classes(rows, threshold=0.8):
+    """[(doc_id, class, links)] by row; ids may be null or shared by texts. A class is named by its least id."""
+    got = classes([(i, t) for i, (_, t) in enumerate(rows)], threshold)
+    least = {}
+    for i, (c, _) in got.items():
+        if rows[i][0] is not None:
+            least[c] = min(least.get(c, rows[i][0]), rows[i][0])
+    return [(d, least.get(got[i][0]), got[i][1]) for i, (d, _) in enumerate(rows)]
+
+
 def leaks(rows, items, containment=0.8):
     plain = lambda t: shingles_plain(PLAIN.sub(" ", (t or "").lower()))
     docs, out = [(d, plain(t)) for d, t in rows], []

@@ -80,7 +80,7 @@ def test_near_duplicate_classes_of_the_test_table(spark):
 def test_near_duplicates_with_null_and_repeated_ids(spark):
     t = " ".join(f"w{i}" for i in range(40))
     got = Counter((r.doc_id, r.class_id, r.n_copies, r.n_links) for r in chosen_path.near_duplicate_classes(table(spark, [(None, t), (3, t), (3, t), (4, t + " x"), (None, None)])).collect())
-    assert got == Counter({(None, None, 3, 3): 1, (3, None, 3, 3): 2, (4, None, 1, 3): 1, (None, None, 1, 0): 1})
+    assert got == Counter({(None, 3, 3, 3): 1, (3, 3, 3, 3): 2, (4, 3, 1, 3): 1, (None, None, 1, 0): 1})
 
 
 def leaky(seed=4):

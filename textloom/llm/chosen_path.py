@@ -1,38 +1,49 @@
 """N-gram Jaccard join by chosen paths.
 
 A text is the set of its five-word shingles (words are runs without ASCII white space, unchanged; a text of one to four
-words is one shingle). Each of `runs` runs samples about 1/threshold of a set's shingles by a hash that all sets share,
-and each sampled shingle is a bucket: two sets of similarity s >= threshold meet in a run with probability 1 - 1/e at least,
-so that exp(-runs) bounds what is missed. Buckets of more than `small` sets are split by a further shared shingle, drawn
-from the bucket's path, up to `depth` times. Sets of few shingles have too few draws for that, so pairs with a set below SHORT
+words is one shingle). Each run samples about 1/threshold of a set's shingles by a hash that all sets share,
+and each sampled shingle is a bucket: two sets of similarity s >= threshold meet in a run with probability 1 - 1/e at least.
+Buckets of more than `small` sets are split by a further shared shingle, drawn
+from the bucket's path, up to `depth` times; two sets draw the same one with probability s. A run so brings a pair together
+with p = (1 - 1/e) * threshold ** (depth - 1) at least, and it takes log(1 - recall) / log(1 - p) runs to reach the target recall.
+Sets of few shingles have too few draws for that, so pairs with a set below SHORT
 shingles are also found without chance: sets are ordered by how many short sets hold a shingle, and two similar ones share one
 in their prefixes. Small buckets are brute-forced for candidate links; buckets that stay large share
 `depth` drawn shingles and are taken as one dense candidate group. Candidate links are closed to groups, and within a
 group every pair is compared exactly, by incidence products over blocks of bounded size: no pair is dropped for a group's
 size, and no pair becomes a row.
 
-Equal texts (empty ones too) are one class from the start and join as one set with a count. A null text is a class of its
-own. Rows with a null doc_id take a stand-in key below all ids and show null for it; repeated rows count as copies; rows
-that share a doc_id but not the text are taken as one document. Results do not depend on partitioning.
+Candidates must meet in SHARE of the smaller set's samples. In 16 runs a pair at threshold 0.8 has M ~ Poisson(16) common samples and
+O ~ Poisson(4) others, and SHARE asks for M >= 0.18 O: a chance of 5e-7 to fail, far below what the recall allows. Meetings behind a path
+of k shingles weigh 1 / 0.8 ** (k - 1) or more, the inverse of the chance that one lasts so long.
+
+A distinct text has a key of its own, a hash of its content, whatever its rows' doc_ids are; where two texts share one (n ** 2 / 2 ** 65
+texts of n, told by a second hash), their keys are the second hash. Equal texts (empty ones too) are one class from the
+start and join as one set with a count. A null text is a class of its own. A class is named by its least doc_id, null if all are
+null. Repeated rows count as copies. Results do not depend on partitioning.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, prepare, rolling, slices, splitmix, word_table
+from .common import components, fresh, prepare, quoted, rolling, slices, splitmix, word_table
 
 _U = np.uint64
-SHINGLE, THRESHOLD, RUNS, SMALL, DEPTH = 5, 0.8, 16, 24, 4
+SHINGLE, THRESHOLD, RECALL, SMALL, DEPTH = 5, 0.8, 0.9975, 24, 4
 #: A meeting in a small bucket weighs more the longer its path; candidates need this share of the sampled shingles.
 WEIGHTS, SHARE = (1.0, 1.5, 2.5, 4.0), 0.15
 #: Pairs with a set of fewer shingles are found by prefixes, exactly.
 SHORT = 20
 #: Bounds of one block of a group: sets, and shingles in all.
 BLOCK_SETS, BLOCK_SHINGLES = 4096, 1_500_000
+#: Keys that a task remembers, so as not to work on copies again.
+SEEN = 1 << 18
 
 
 def shingles(words: np.ndarray, offsets: np.ndarray, n: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
@@ -54,17 +65,36 @@ def shingles(words: np.ndarray, offsets: np.ndarray, n: int = SHINGLE) -> tuple[
     return row[new], hashes[new]
 
 
+def runs_for(recall: float, threshold: float, depth: int) -> int:
+    """Runs that bring a pair at the threshold together with the target recall, if all its buckets are split to the end."""
+    one = (1 - math.exp(-1)) * threshold ** (depth - 1)
+    return max(1, math.ceil(math.log(1 - recall) / math.log(1 - one)))
+
+
+def _once(batches):
+    """Batches (key, text) without texts that this task has seen lately; copies that slip through are dropped after the shuffle."""
+    seen: set[int] = set()
+    for batch in batches:
+        new = []
+        for key in batch.column("key").to_pylist():
+            new.append(key not in seen)
+            seen.add(key)
+        if len(seen) > SEEN:
+            seen.clear()
+        yield batch.filter(pa.array(new, pa.bool_()))
+
+
 def _paths(runs: int, threshold: float, depth: int):
-    """Rows (doc, number of sampled shingles, path): a path is a sampled shingle and the shingles drawn after it."""
+    """Rows (key, number of sampled shingles, path): a path is a sampled shingle and the shingles drawn after it."""
     fields = [f"p{k}" for k in range(1, depth + 1)]
 
     def run(batches):
-        for batch in batches:
+        for batch in _once(batches):
             for part in slices(batch):
                 row, sh = shingles(*word_table(part))
                 if not len(row):
                     continue
-                ids = part.column("doc").to_numpy()
+                ids = part.column("key").to_numpy()
                 size = np.bincount(row, minlength=len(ids))
                 # Run r samples the hashes in [r, r + width): runs are disjoint, and widths shrink with a set's size.
                 place = splitmix(sh ^ _U(0xC0FFEE)).astype(np.float64) * (runs / 2.0**64)
@@ -81,9 +111,9 @@ def _paths(runs: int, threshold: float, depth: int):
                         np.fill_diagonal(drawn, ~_U(0))
                         paths[k, lo:hi] = path = splitmix(path + own[drawn.argmin(1)])
                 short = [pa.array((x >> _U(32)).astype(np.uint32).view(np.int32)) for x in paths[1:]]
-                yield pa.RecordBatch.from_arrays([pa.array(ids[row]), pa.array(np.repeat(counts, counts).astype(np.int32)), pa.array(paths[0].view(np.int64)), *short], ["doc", "n_sampled", *fields])
+                yield pa.RecordBatch.from_arrays([pa.array(ids[row]), pa.array(np.repeat(counts, counts).astype(np.int32)), pa.array(paths[0].view(np.int64)), *short], ["key", "n_sampled", *fields])
 
-    return run, "doc long, n_sampled int, p1 long" + "".join(f", {f} int" for f in fields[1:])
+    return run, "key long, n_sampled int, p1 long" + "".join(f", {f} int" for f in fields[1:])
 
 
 def _candidates(paths: DataFrame, small: int, depth: int, share: float) -> DataFrame:
@@ -91,50 +121,50 @@ def _candidates(paths: DataFrame, small: int, depth: int, share: float) -> DataF
     left, leaves = paths, []
     for k in range(1, depth + 1):
         path = [f"p{j}" for j in range(1, k + 1)]
-        counts = left.groupBy(*path).agg(F.count("*").alias("n_in"), F.min("doc").alias("low"))
+        counts = left.groupBy(*path).agg(F.count("*").alias("n_in"), F.min("key").alias("low"))
         split = left.join(counts.filter("n_in > 1"), path).checkpoint()
-        leaves.append(split.filter(F.col("n_in") <= small).select(F.xxhash64(*path).alias("leaf"), "doc", "n_sampled", F.lit(WEIGHTS[min(k, len(WEIGHTS)) - 1]).alias("weight")))
+        leaves.append(split.filter(F.col("n_in") <= small).select(F.xxhash64(*path).alias("leaf"), "key", "n_sampled", F.lit(WEIGHTS[min(k, len(WEIGHTS)) - 1]).alias("weight")))
         left = split.filter(F.col("n_in") > small)
         if k < depth:
             left = left.drop("n_in", "low")
     met = leaves[0]
     for x in leaves[1:]:
         met = met.unionByName(x)
-    other = met.select("leaf", F.col("doc").alias("v"), F.col("n_sampled").alias("m_sampled"))
-    close = met.withColumnRenamed("doc", "u").join(other, "leaf").filter("u > v").groupBy("u", "v").agg(F.sum("weight").alias("met"), F.max(F.least("n_sampled", "m_sampled")).alias("least"))
-    dense = left.select(F.col("doc").alias("u"), F.col("low").alias("v")).filter("u <> v")
+    other = met.select("leaf", F.col("key").alias("v"), F.col("n_sampled").alias("m_sampled"))
+    close = met.withColumnRenamed("key", "u").join(other, "leaf").filter("u > v").groupBy("u", "v").agg(F.sum("weight").alias("met"), F.max(F.least("n_sampled", "m_sampled")).alias("least"))
+    dense = left.select(F.col("key").alias("u"), F.col("low").alias("v")).filter("u <> v")
     return close.filter(F.col("met") >= share * F.col("least")).select("u", "v").union(dense)
 
 
 def _short_sets(most: int):
-    """Rows (doc, sh): all shingles of the sets of at most `most` shingles."""
+    """Rows (key, sh): all shingles of the sets of at most `most` shingles."""
 
     def run(batches):
-        for batch in batches:
+        for batch in _once(batches):
             for part in slices(batch):
                 row, sh = shingles(*word_table(part))
                 own = np.bincount(row, minlength=len(part))[row] <= most
                 row, sh = row[own], sh[own]
                 if len(row):
-                    yield pa.RecordBatch.from_arrays([pa.array(part.column("doc").to_numpy()[row]), pa.array(sh.view(np.int64))], ["doc", "sh"])
+                    yield pa.RecordBatch.from_arrays([pa.array(part.column("key").to_numpy()[row]), pa.array(sh.view(np.int64))], ["key", "sh"])
 
-    return run, "doc long, sh long"
+    return run, "key long, sh long"
 
 
 def _short_candidates(sets: DataFrame, small: int, thousandths: int) -> DataFrame:
     """Candidate links (u, v) among short sets, none missing: close pairs of small prefix buckets, and stars over large ones."""
     often = sets.groupBy("sh").agg(F.count("*").alias("n")).filter(F.col("n") > small)
-    ranked = sets.join(often, "sh", "left").select("doc", F.struct(F.coalesce("n", F.lit(0)).alias("n"), "sh").alias("x"))
-    own = ranked.groupBy("doc").agg(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["sh"]).alias("own"))  # short sets only
+    ranked = sets.join(often, "sh", "left").select("key", F.struct(F.coalesce("n", F.lit(0)).alias("n"), "sh").alias("x"))
+    own = ranked.groupBy("key").agg(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["sh"]).alias("own"))  # short sets only
     size = F.size("own")
     prefix = size - F.ceil(size * thousandths / F.lit(1000) - 1e-9).cast("int") + 1
-    rows = own.select("doc", "own", F.explode(F.slice("own", F.lit(1), prefix)).alias("sh"))
-    counts = rows.groupBy("sh").agg(F.count("*").alias("n_in"), F.min("doc").alias("low")).filter("n_in > 1")
+    rows = own.select("key", "own", F.explode(F.slice("own", F.lit(1), prefix)).alias("sh"))
+    counts = rows.groupBy("sh").agg(F.count("*").alias("n_in"), F.min("key").alias("low")).filter("n_in > 1")
     split = rows.join(counts, "sh").checkpoint()
     met = split.filter(F.col("n_in") <= small)
-    pairs = met.select("sh", F.col("doc").alias("u"), "own").join(met.select("sh", F.col("doc").alias("v"), F.col("own").alias("other")), "sh").filter("u > v")
+    pairs = met.select("sh", F.col("key").alias("u"), "own").join(met.select("sh", F.col("key").alias("v"), F.col("own").alias("other")), "sh").filter("u > v")
     close = F.size(F.array_intersect("own", "other")) * (1000 + thousandths) >= thousandths * (F.size("own") + F.size("other"))
-    dense = split.filter(F.col("n_in") > small).select(F.col("doc").alias("u"), F.col("low").alias("v")).filter("u <> v")
+    dense = split.filter(F.col("n_in") > small).select(F.col("key").alias("u"), F.col("low").alias("v")).filter("u <> v")
     return pairs.filter(close).select("u", "v").union(dense)
 
 
@@ -180,7 +210,7 @@ def _common(row_a, sh_a, n_a, row_b, sh_b, n_b) -> np.ndarray:
 
 
 def _cell(ids, copies, side, row, sh, thousandths: int) -> list:
-    """Links within one block (side 0) or between two (sides -1 and 1): parts of (doc, least linked doc, links)."""
+    """Links within one block (side 0) or between two (sides -1 and 1): parts of (key, least linked key, links)."""
     size = np.bincount(row, minlength=len(ids))
     place = np.zeros(len(ids), np.int64)
 
@@ -217,19 +247,16 @@ def _cell(ids, copies, side, row, sh, thousandths: int) -> list:
 
 
 def _verify(thousandths: int):
-    """Of rows sorted by cell and doc: each doc's links in a cell, and the least doc that it is linked with there."""
+    """Of rows sorted by cell: each key's links in a cell, and the least key that it is linked with there."""
 
     def batch_of(parts):
-        doc, root, links = (np.concatenate(c) for c in zip(*parts, strict=True))
+        key, root, links = (np.concatenate(c) for c in zip(*parts, strict=True))
         keep = links > 0
-        return pa.RecordBatch.from_arrays([pa.array(doc[keep]), pa.array(root[keep]), pa.array(links[keep].astype(np.int64))], ["doc", "root", "links"])
+        return pa.RecordBatch.from_arrays([pa.array(key[keep]), pa.array(root[keep]), pa.array(links[keep].astype(np.int64))], ["key", "root", "links"])
 
     def flush(held):
         part = pa.Table.from_batches(held).combine_chunks()
-        ids = part.column("doc").to_numpy()
-        first = np.ones(len(ids), bool)
-        first[1:] = ids[1:] != ids[:-1]
-        part, ids = part.filter(pa.array(first)), ids[first]
+        ids = part.column("key").to_numpy()
         rows, hashes, base = [], [], 0
         for x in part.to_batches():
             for y in slices(x):
@@ -261,44 +288,82 @@ def _verify(thousandths: int):
     return run
 
 
-def near_duplicate_classes(docs: DataFrame, threshold: float = THRESHOLD, runs: int = RUNS, small: int = SMALL, depth: int = DEPTH) -> DataFrame:
-    """One row per row of docs: doc_id, class_id, same_text_id, n_copies, n_links.
+def _rows(docs: DataFrame, bits: int) -> tuple[DataFrame, DataFrame, Column]:
+    """Rows (doc_id, key, chars) of texts, the distinct texts (key, first, n_copies, chars), and the key as an expression of `text`."""
+    text = F.col("text").cast("string")
+    one, two = F.shiftright(F.xxhash64(text), 64 - bits) if bits < 64 else F.xxhash64(text), F.xxhash64(text, F.lit(7))
+    rows = docs.filter(text.isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), F.length(text).alias("chars"), one.alias("a"), two.alias("b")).checkpoint()
+    texts = rows.groupBy("a", "b").agg(F.min("doc_id").alias("first"), F.count("*").alias("n_copies"), F.max("chars").alias("chars")).checkpoint()
+    shared = [r.a for r in texts.groupBy("a").count().filter("count > 1").select("a").collect()]  # collisions of 64-bit hashes
+    key = lambda a, b: F.when(a.isin(shared), b).otherwise(a) if shared else a
+    named = key(F.col("a"), F.col("b")).alias("key")
+    return rows.select("doc_id", named), texts.select(named, "first", "n_copies", "chars"), key(one, two)
 
-    class_id: the least doc_id that links lead to; same_text_id: the least doc_id of this very text; n_copies: rows
-    with this very text; n_links: other rows within the threshold. Other columns of docs are ignored.
+
+def text_classes(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL, small: int = SMALL, depth: int = DEPTH, bits: int = 64) -> tuple[DataFrame, DataFrame, Column]:
+    """Rows (doc_id, key) of texts; a table of distinct texts (key, first, n_copies, n_links, class_id, class_key); the key of `text`.
+
+    first: the least doc_id of a text; n_links: rows within the threshold besides one's own; class_id and class_key: the least doc_id in
+    the class, and a text that has it. bits: of a key's hash, fewer in tests only.
     """
     spark = prepare(docs.sparkSession)
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    stand_in = F.lit(-(1 << 62)) - F.abs(F.xxhash64("text") % (1 << 60))
-    keyed = docs.filter(F.col("text").isNotNull()).withColumn("doc", F.coalesce("doc_id", stand_in))
-    sums = keyed.select("doc_id", "doc", F.length("text").alias("chars"), F.xxhash64("text").alias("a"), F.xxhash64("text", F.lit(7)).alias("b"))
-    firsts = sums.groupBy("a", "b").agg(F.min("doc").alias("first"), F.count("*").alias("n_copies"))
-    members = sums.join(firsts, ["a", "b"]).select("doc_id", "doc", "chars", "first", "n_copies").checkpoint()
-    reps = members.filter("doc = first").select("doc", "chars", F.col("n_copies").alias("copies")).distinct()
-    texts = keyed.select("doc", "text")
-    copies = members.filter("doc <> first").select("doc")
-    run, schema = _paths(runs, threshold, depth)
-    paths = texts.mapInArrow(run, schema).join(copies, "doc", "left_anti").checkpoint()
+    rows, firsts, key = _rows(docs, bits)
+    texts = docs.filter(F.col("text").isNotNull()).select(key.alias("key"), F.col("text").cast("string").alias("text"))
+    run, schema = _paths(runs_for(recall, threshold, depth), threshold, depth)
+    paths = texts.mapInArrow(run, schema).distinct().checkpoint()
     run, schema = _short_sets(int(SHORT / threshold))
-    short = texts.mapInArrow(run, schema).join(copies, "doc", "left_anti").distinct().checkpoint()
+    short = texts.mapInArrow(run, schema).distinct().checkpoint()
     candidates = _candidates(paths, small, depth, SHARE).union(_short_candidates(short, small, round(threshold * 1000)))
-    groups = components(candidates).withColumnRenamed("node", "doc").join(reps, "doc").checkpoint()
+    sizes = firsts.select("key", "chars", F.col("n_copies").alias("copies"))
+    groups = components(candidates).withColumnRenamed("node", "key").join(sizes, "key").checkpoint()
 
     # A large group's sets are dealt by hash into parts of bounded size; each pair of parts is a cell.
     parts = F.ceil(F.greatest(F.count("*") / BLOCK_SETS, F.sum("chars") / (6 * BLOCK_SHINGLES), F.lit(1))).cast("int")
     blocks = groups.groupBy("root").agg(parts.alias("parts")).filter("parts > 1")
     dealt = groups.join(blocks, "root", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
-    dealt = dealt.withColumn("part", F.pmod(F.xxhash64("doc", F.lit(3)), F.col("parts")).cast("int"))
+    dealt = dealt.withColumn("part", F.pmod(F.xxhash64("key", F.lit(3)), F.col("parts")).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     side = F.signum(F.col("part") - F.col("other")).cast("int")
-    dealt = dealt.select("doc", "copies", F.xxhash64("root", F.least("part", "other"), F.greatest("part", "other")).alias("cell"), side.alias("side"))
-    cells = dealt.join(texts, "doc").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "cell").sortWithinPartitions("cell", "doc")
-    found = cells.mapInArrow(_verify(round(threshold * 1000)), "doc long, root long, links long").checkpoint()
-
-    links = found.groupBy(F.col("doc").alias("first")).agg(F.sum("links").alias("links"))
-    classes = components(found.select(F.col("doc").alias("u"), F.col("root").alias("v"))).toDF("first", "class")
-    shown = lambda c: F.when(F.col(c) >= -(1 << 61), F.col(c))  # noqa: E731  without the stand-ins of null ids
-    out = members.join(links, "first", "left").join(classes, "first", "left").withColumn("class", F.coalesce("class", "first"))
-    out = out.select("doc_id", shown("class").alias("class_id"), shown("first").alias("same_text_id"), "n_copies", (F.coalesce("links", F.lit(0)) + F.col("n_copies") - 1).alias("n_links"))
-    one, none = F.lit(1).cast("long"), F.lit(0).cast("long")
-    return out.unionByName(docs.filter(F.col("text").isNull()).select("doc_id", F.col("doc_id").alias("class_id"), F.col("doc_id").alias("same_text_id"), one.alias("n_copies"), none.alias("n_links")))
+    dealt = dealt.select("key", "copies", F.xxhash64("root", F.least("part", "other"), F.greatest("part", "other")).alias("cell"), side.alias("side"))
+    # Copies of a text are dropped before and after the exchange, so none of them meets its cells twice.
+    cells = dealt.join(texts.dropDuplicates(["key"]), "key").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "cell").sortWithinPartitions("cell", "key")
+    found = cells.mapInArrow(_verify(round(threshold * 1000)), "key long, root long, links long").checkpoint()
+
+    links = found.groupBy("key").agg(F.sum("links").alias("links"))
+    classes = components(found.select(F.col("key").alias("u"), F.col("root").alias("v"))).toDF("key", "class")
+    table = firsts.join(links, "key", "left").join(classes, "key", "left").withColumn("class", F.coalesce("class", "key"))
+    named = table.groupBy("class").agg(F.min(F.struct(F.col("first").isNull().alias("none"), "first", "key")).alias("least"))
+    table = table.join(named, "class").select("key", "first", "n_copies", (F.coalesce("links", F.lit(0)) + F.col("n_copies") - 1).alias("n_links"), F.col("least.first").alias("class_id"), F.col("least.key").alias("class_key"))
+    return rows, table, key
+
+
+def near_duplicate_classes(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL, small: int = SMALL, depth: int = DEPTH, bits: int = 64) -> DataFrame:
+    """One row per row of docs: doc_id, class_id, same_text_id, n_copies, n_links.
+
+    class_id: the least doc_id that links lead to; same_text_id: the least doc_id of this very text; n_copies: rows
+    with this very text; n_links: other rows within the threshold. Other columns of docs are ignored.
+    """
+    rows, table, _ = text_classes(docs, threshold, recall, small, depth, bits)
+    out = rows.join(table, "key").select("doc_id", "class_id", F.col("first").alias("same_text_id"), "n_copies", "n_links")
+    one, none, doc = F.lit(1).cast("long"), F.lit(0).cast("long"), F.col("doc_id").cast("long")
+    return out.unionByName(docs.filter(F.col("text").isNull()).select(doc.alias("doc_id"), doc.alias("class_id"), doc.alias("same_text_id"), one.alias("n_copies"), none.alias("n_links")))
+
+
+def keep_one(docs: DataFrame, **limits) -> DataFrame:
+    """docs, all columns, with one row of each class: a row with its least doc_id, one with a null doc_id only if all are null.
+
+    Rows with null texts stay. Decisions are keyed by doc_id and text; of rows that share both, one stays.
+    """
+    rows, table, key = text_classes(docs, **limits)
+    told = rows.join(table.filter("n_links > 0"), "key").groupBy("key", "doc_id", "first", "class_key").agg(F.count("*").alias("n"))
+    stays = (F.col("key") == F.col("class_key")) & F.col("doc_id").eqNullSafe(F.col("first"))
+    told = told.select("key", "doc_id", stays.alias("stays"), "n").filter("not stays or n > 1").checkpoint()
+    k, of, doc = fresh(docs, "key", "of", "doc")
+    match = (F.col(k) == F.col(of)) & F.col("doc_id").cast("long").eqNullSafe(F.col(doc))
+    side = lambda t: t.select(F.col("key").alias(of), F.col("doc_id").alias(doc))
+    left = docs.withColumn(k, key).join(side(told.filter("not stays")), match, "left_anti")
+    columns, repeats = [F.col(quoted(c)) for c in docs.columns], side(told.filter("stays"))
+    if repeats.isEmpty():
+        return left.select(*columns)
+    once = left.join(repeats, match, "left_semi").dropDuplicates([k])
+    return left.join(repeats, match, "left_anti").select(*columns).unionByName(once.select(*columns))

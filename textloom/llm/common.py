@@ -26,7 +26,7 @@ _WHITE[[0x20, *range(0x09, 0x0E)]] = True
 def prepare(spark: SparkSession) -> SparkSession:
     """Bounds Arrow batches and makes sure that checkpoint() has a folder.
 
-    The folder in spark.checkpoint.dir is taken as it is; one is set only where that is unset.
+    The folder in spark.checkpoint.dir is taken as it is; where that is unset, a temporary one does in local mode only.
     """
     for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)):
         try:
@@ -36,7 +36,10 @@ def prepare(spark: SparkSession) -> SparkSession:
     context = spark.sparkContext
     _ship(context)
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="textloom-"))
+        given = spark.conf.get("spark.checkpoint.dir", None)
+        if given is None and not context.master.split("[")[0] == "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        context.setCheckpointDir(given or tempfile.mkdtemp(prefix="textloom-"))
     return spark
 
 
@@ -60,6 +63,22 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def quoted(name: str) -> str:
+    """A column's name as it is, dots and all."""
+    return "`" + name.replace("`", "``") + "`"
+
+
+def fresh(docs: DataFrame, *names: str) -> list[str]:
+    """These names, with underscores until no column of docs has them in any case."""
+    taken, out = {c.lower() for c in docs.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def row_key(doc_id: str = "doc_id", text: str = "text") -> Column:
     """A key that rows share only if they are repeats of one another."""
     return F.xxhash64(F.col(doc_id), F.col(text))
