@@ -10,7 +10,6 @@ import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from textloom.llm import chosen_path, decontamination, langid, mixing, sharding
 from textloom.llm.common import prepare, table
@@ -23,20 +22,8 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate class: the one with the least doc_id. Of repeated rows one stays.
-
-    Rows with a null doc_id or text aren't compared and stay.
-    """
-    whole = docs.filter("doc_id is not null and text is not null")
-    classes = chosen_path.near_duplicate_classes(whole.select("doc_id", "text")).filter("doc_id <> class_id or n_copies > 1").checkpoint()
-    # Rows that go, by id: copies of a class's least document have other ids, but for repeats of its own row.
-    gone = classes.filter("doc_id <> class_id").select(F.col("doc_id").alias("_gone")).distinct()
-    repeats = classes.filter("doc_id = class_id").groupBy("doc_id").count().filter("count > 1").select("doc_id")
-    left = docs.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")
-    if repeats.isEmpty():
-        return left
-    once = left.join(repeats, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return left.join(repeats, "doc_id", "left_anti").select(*docs.columns).unionByName(once.select(*docs.columns))
+    """One document of each near-duplicate class: a row with its least doc_id. Rows with a null text aren't compared and stay."""
+    return chosen_path.keep_one(docs)
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
