@@ -3,8 +3,8 @@
 Only DataFrame functions are used. A candidate is a run of at least WINDOW key characters that holds letters and digits. Its
 character class (hexadecimal, or mixed) sets the threshold; a window of WINDOW characters slides over it, with the counts
 of its characters updated by the one that enters and the one that leaves, and so the sum of c * log2(c) that entropy
-needs. The span is the hull of the windows above the threshold. Candidates that an allow-list pattern matches, and those that
-touch a pattern's span, are suppressed. Null texts are empty; repeated rows give repeated results.
+needs. The span is the hull of the windows above the threshold. Windows never touch a pattern's span: what such spans leave of a
+candidate are candidates by themselves. Those that an allow-list pattern matches are suppressed. Null texts are empty; repeated rows give repeated results.
 """
 
 from __future__ import annotations
@@ -55,16 +55,30 @@ def entropy_hull(value: Column, limit: Column, window: int = WINDOW) -> Column:
     return F.aggregate(F.sequence(F.lit(1), F.length(value)), start, step, lambda acc: F.struct(acc["low"].alias("low"), acc["high"].alias("high")))
 
 
+def _stretches(found: Column, base: Column, least: int) -> Column:
+    """What the sorted spans of base leave of found, in stretches of at least some characters."""
+
+    def cut(s):
+        piece = lambda low, high: F.when(high - low >= least, F.array(F.struct(low.alias("start"), s["kind"].alias("kind"), high.alias("end"), F.substring(s["value"], low - s["start"] + 1, high - low).alias("value")))).otherwise(none())
+        start = F.struct(s["start"].alias("at"), none().alias("out"))
+        touching = F.filter(base, lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))
+        step = lambda acc, b: F.struct(F.greatest(acc["at"], b["end"]).alias("at"), F.concat(acc["out"], piece(acc["at"], b["start"])).alias("out"))
+        return F.aggregate(touching, start, step, lambda acc: F.concat(acc["out"], piece(acc["at"], s["end"])))
+
+    return F.flatten(F.transform(found, cut))
+
+
 def entropy_spans(text: Column, base: Column, window: int = WINDOW, allowed: tuple[str, ...] = ALLOWED) -> Column:
+    """Spans of high entropy, given the sorted spans of the patterns."""
     (hexadecimal, low), (_, high) = LIMITS.items()
 
-    def keep(hit, _):
-        good = F.regexp_like(hit, F.lit("[0-9]")) & F.regexp_like(hit, F.lit("[A-Za-z]"))
+    def good(s):
+        out = F.regexp_like(s["value"], F.lit("[0-9]")) & F.regexp_like(s["value"], F.lit("[A-Za-z]"))
         for pattern in allowed:
-            good = good & ~F.regexp_like(hit, F.lit(f"^(?:{pattern})$"))
-        return good
+            out = out & ~F.regexp_like(s["value"], F.lit(f"^(?:{pattern})$"))
+        return out
 
-    found = F.filter(spans(text, CANDIDATE, 3, keep), lambda s: ~F.exists(base, lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])))
+    found = F.filter(_stretches(spans(text, CANDIDATE, 3), base, window), good)
     limit = lambda s: F.when(F.regexp_like(s["value"], F.lit(f"^{hexadecimal}$")), F.lit(low)).otherwise(F.lit(high))
 
     def hull(s):
