@@ -7,8 +7,9 @@ their sizes stays within the rest. The document at the border is cut to the word
 comes nearer to the target.
 
 Prefix sums have two levels: keys fall into buckets, buckets' totals give each bucket's prefix, and only the bucket at
-each source's border is sorted. Draws are hashes of (doc_id, seed), so reruns agree. Null texts have size 0 and are
-taken 0 words of; a null source is a source of its own, after the others. Ties go by key, then doc_id; repeated rows are documents of their own.
+each source's border is sorted. Draws are hashes of (doc_id, seed), of the text where there is no doc_id, so reruns agree. Null texts have size 0 and are
+taken 0 words of; a null source is a source of its own, after the others. Ties go by key, then doc_id, then the text's hash; repeated
+rows are documents of their own, of which the border takes as many as fit.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import WORD, prepare
+from .common import WORD, fresh, prepare, quoted
 
 WEIGHTS, SHARE, MOST, SEED = (5, 2, 1), 1.5, 2.0, 42
 #: Rows of a source that a bucket of keys holds on average.
@@ -28,9 +29,9 @@ def word_count(text: str = "text") -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def uniform(doc_id: str = "doc_id", seed: int = SEED) -> Column:
-    """A number in (0, 1) drawn from the md5 of id and seed: 52 bits, the same in other engines."""
-    digest = F.md5(F.concat_ws(":", F.coalesce(F.col(doc_id).cast("string"), F.lit("")), F.lit(str(seed))))
+def uniform(doc_id: str = "doc_id", seed: int = SEED, text: str = "text") -> Column:
+    """A number in (0, 1) drawn from the md5 of id and seed: 52 bits, the same in other engines. Rows without an id draw by their text."""
+    digest = F.md5(F.concat_ws(":", F.coalesce(F.col(doc_id).cast("string"), F.md5(F.col(text).cast("string")), F.lit("")), F.lit(str(seed))))
     return (F.conv(F.substring(digest, 1, 13), 16, 10).cast("double") + 0.5) / float(1 << 52)
 
 
@@ -64,7 +65,7 @@ def _placed(docs: DataFrame, size: Column | None, weight: Column | None, weights
     prepare(docs.sparkSession)
     size, weight = word_count() if size is None else size, quality_weight() if weight is None else weight
     key = -F.log(uniform(seed=seed)) / F.greatest(weight, F.lit(1e-6))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), size.cast("long").alias("size"), key.alias("key")).checkpoint()
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), size.cast("long").alias("size"), key.alias("key"), F.xxhash64(F.col("text").cast("string")).alias("h")).checkpoint()
     totals = rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n")).checkpoint()
     buckets = int(max(16, min(1 << 16, (totals.agg(F.max("n")).first()[0] or 0) // BUCKET_ROWS)))
     goal = F.floor(F.col("target") + 0.5).cast("long")
@@ -85,7 +86,7 @@ def _bucket(key: Column, buckets: int) -> Column:
 
 def _border(placed: DataFrame, cut: bool) -> DataFrame:
     """Rows of the buckets at the borders, sorted within their source, with the part that the last epoch takes."""
-    one = W.partitionBy("source").orderBy("key", "doc_id", "size").rowsBetween(W.unboundedPreceding, -1)
+    one = W.partitionBy("source").orderBy("key", "doc_id", "h").rowsBetween(W.unboundedPreceding, -1)
     left = F.greatest(F.col("rest") - F.col("before") - F.coalesce(F.sum("size").over(one), F.lit(0)), F.lit(0))
     return placed.filter("border").withColumn("left", left).withColumn("part", F.least("size", "left") if cut else F.when(2 * F.col("left") >= F.col("size"), F.col("size")).otherwise(0))
 
@@ -104,19 +105,33 @@ def mix(docs: DataFrame, size: Column | None = None, weight: Column | None = Non
 
 
 def mixed_rows(docs: DataFrame, weight: Column | None = None, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, most: float = MOST, seed: int = SEED, broadcast_rows: int = 100_000) -> DataFrame:
-    """The mix itself: rows of docs, whole, each as often as its epochs take it; all columns stay.
+    """The mix itself: rows of docs, whole, each as often as its epochs take it; all columns stay, whatever their names.
 
     Texts are not shuffled: a source's border is a key, and rows compare their own key with it. The borders (a row per
-    source) are broadcast up to `broadcast_rows` and joined by a shuffle beyond.
+    source) are broadcast up to `broadcast_rows` and joined by a shuffle beyond. Where repeated rows stand at a border, as many of
+    them are taken as fit; they are alike but for columns that the mix doesn't read.
     """
     rows, sums, key, buckets = _placed(docs, None, weight, weights, share, most, seed)
     placed = rows.withColumn("bucket", _bucket(F.col("key"), buckets)).join(sums.filter("border"), F.col("source").eqNullSafe(F.col("s")) & (F.col("bucket") == F.col("b")))
-    last = _border(placed, False).filter("part > 0").groupBy(F.col("source").alias("of")).agg(F.max(F.struct("key", "doc_id")).alias("last"))
+    ties = _border(placed, False).groupBy("source", "key", "doc_id", "h").agg(F.count("*").alias("m"), F.count_if(F.col("part") > 0).alias("n")).filter("n > 0")
+    last = ties.groupBy(F.col("source").alias("of")).agg(F.max(F.struct("key", "doc_id", "h", "n", "m")).alias("last"))
     plan = sums.groupBy("s").agg(F.max("epochs").alias("epochs"), F.max(F.when(F.col("whole"), F.col("b"))).alias("whole_to"))
-    plan = plan.join(last, F.col("s").eqNullSafe(F.col("of")), "left").select(F.col("s").alias("_s"), F.col("epochs").alias("_epochs"), F.col("whole_to").alias("_whole_to"), F.col("last").alias("_last")).checkpoint()
+    names = fresh(docs, "s", "epochs", "whole_to", "last", "key", "times", "nth")
+    s, epochs, whole_to, border, own_key, times, nth = names
+    plan = plan.join(last, F.col("s").eqNullSafe(F.col("of")), "left").select(*[F.col(c).alias(n) for c, n in zip(("s", "epochs", "whole_to", "last"), names, strict=False)]).checkpoint()
     small = plan.count() <= broadcast_rows
-    out = docs.withColumn("_key", key).join(F.broadcast(plan) if small else plan, F.col("source").cast("string").eqNullSafe(F.col("_s")))
-    own = F.struct(F.col("_key").alias("key"), F.col("doc_id").cast("long").alias("doc_id"))
-    again = F.coalesce(_bucket(F.col("_key"), buckets) <= F.col("_whole_to"), F.lit(False)) | F.coalesce(own <= F.col("_last"), F.lit(False))
-    out = out.withColumn("_times", F.col("_epochs").cast("int") + again.cast("int")).filter("_times > 0")
-    return out.withColumn("_nth", F.explode(F.array_repeat(F.lit(0), F.col("_times")))).select(*docs.columns)
+    exact = plan.filter(F.col(border)["m"] > F.col(border)["n"]).isEmpty()
+    out = docs.withColumn(own_key, key).join(F.broadcast(plan) if small else plan, F.col("source").cast("string").eqNullSafe(F.col(s)))
+    own = F.struct(F.col(own_key).alias("key"), F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.col("text").cast("string")).alias("h"))
+    at = F.struct(*[F.col(border)[c].alias(c) for c in ("key", "doc_id", "h")])
+    inside = F.coalesce(F.col(border).isNotNull() & ((own <= at) if exact else (own < at)), F.lit(False))
+    again = F.coalesce(_bucket(F.col(own_key), buckets) <= F.col(whole_to), F.lit(False)) | inside
+    columns = [F.col(quoted(c)) for c in docs.columns]
+    taken = out.withColumn(times, F.col(epochs).cast("int") + again.cast("int")).filter(F.col(times) > 0)
+    taken = taken.withColumn(nth, F.explode(F.array_repeat(F.lit(0), F.col(times)))).select(*columns)
+    if exact:
+        return taken
+    # Few sources have repeated rows at their border; of those, rows that are alike give what fits.
+    some = out.filter(F.col(border).isNotNull() & (own == at)).groupBy(F.col(s)).agg(F.first(F.struct(*columns)).alias(own_key), F.first(F.col(border)["n"]).alias(times))
+    some = some.withColumn(nth, F.explode(F.array_repeat(F.lit(0), F.col(times).cast("int")))).select(*[F.col(own_key).getField(c).alias(c) for c in docs.columns])
+    return taken.unionByName(some)
