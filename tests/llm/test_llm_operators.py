@@ -240,3 +240,104 @@ def test_empty_tables(spark):
     assert sharding.shard(none).count() == 0
     assert token_counts.suffix_sums(token_counts.histogram(none)).count() == 0
     assert langid.train(none) == [] and langid.predict(none, [], ["doc_id"]).count() == 0
+
+
+def packed(sizes, capacity, bins=None):
+    """Best-fit decreasing of items in this order, one by one over a list of rooms."""
+    room = [capacity] * (bins or 0)
+    out = []
+    for x in sizes:
+        fit = [(r, b) for b, r in enumerate(room) if r >= x]
+        if fit:
+            b = min(fit)[1]
+        elif bins:
+            b = max((r, b) for b, r in enumerate(room))[1]
+        else:
+            b = len(room)
+            room.append(max(capacity, x))
+        room[b] -= x
+        out.append(b)
+    return out
+
+
+@pytest.mark.parametrize(("shards", "capacity"), [(7, None), (None, 4000), (40, None)])
+def test_shards_equal_packing_group_by_group(spark, shards, capacity, monkeypatch):
+    monkeypatch.setattr(sharding, "RANKED", 50)
+    rng = random.Random(13)
+    texts = [f"{i} " + "y" * rng.choice([1, 2, 3, 30, rng.randint(0, 90)]) for i in range(900)] + [None, ""]
+    rows = [(i, rng.choice(texts)) for i in range(1500)]
+    docs = table(spark, rows)
+    got = sharding.shard(docs, shards, capacity).collect()
+    hashes = {r.text: (r.g, r.h2) for r in docs.selectExpr("text", "xxhash64(text is null, text) as g", "xxhash64(text, 11) as h2").collect()}
+    size, own = defaultdict(int), {}
+    for d, t in rows:
+        size[t] += len((t or "").encode()) + 16
+        own[d] = t
+    order = sorted(size, key=lambda t: (-size[t], hashes[t]))
+    room = capacity or -(-sum(size.values()) // shards)
+    want = dict(zip(order, packed([size[t] for t in order], room, shards), strict=True))
+    assert len(got) == len(rows) and all(r.shard == want[own[r.doc_id]] for r in got)
+    if capacity:
+        loads = Counter()
+        for r in got:
+            loads[r.shard] += r.size
+        assert max(loads.values()) <= capacity and set(loads) == set(range(len(loads)))
+
+
+def test_strides_equal_single_steps():
+    rng = random.Random(14)
+    for k in range(60):
+        sizes = sorted((rng.choice([0, 1, 3, 7, 20, 59, 60, 61]) for _ in range(rng.randint(1, 120))), reverse=True)
+        bins = rng.choice([None, 1, 4, 9])
+        assert sharding.best_fit_decreasing(sizes, 60, bins) == packed(sizes, 60, bins), k
+
+
+def test_a_host_that_fails_takes_its_good_documents_along(spark):
+    """Rates come from a plain empirical beta prior here, not from the operator."""
+    good, poor = "good words " + " ".join(f"w{k}" for k in range(60)), "few words"
+    share = {"a": 0.02, "b": 0.05, "c": 0.9, "d": 0.01, "e": 0.0, "f": 0.85}
+    rows = [(1000 * n + i, poor if i < 300 * bad else good, h) for n, (h, bad) in enumerate(share.items()) for i in range(300)] + [(9000, poor, "tiny"), (9001, good, "tiny")]
+    got = {r.doc_id: r for r in quality.quality_verdicts(table(spark, rows, "doc_id long, text string, source string")).collect()}
+    n, failed = Counter(h for _, _, h in rows), Counter(h for _, t, h in rows if t == poor)
+    rates = [failed[h] / n[h] for h in n]
+    mean = sum(rates) / len(rates)
+    variance = sum((r - mean) ** 2 for r in rates) / (len(rates) - 1)
+    between = max(variance - mean * (1 - mean) * sum(1 / n[h] for h in n) / len(n), 1e-6)
+    strength = max(min(mean * (1 - mean) / between - 1, 1e6), 1.0)
+    want = {h: (failed[h] + mean * strength) / (n[h] + strength) for h in n}
+    assert all(got[d].host_rate == pytest.approx(want[h]) for d, _, h in rows)
+    assert all(got[d].kept == (t == good and want[h] <= 0.5) for d, t, h in rows)
+    assert sum(t == good and not got[d].kept for d, t, _ in rows) >= 70 and want["tiny"] < 0.5 < want["c"]
+
+
+def test_language_sizes_equal_plain_compression(spark):
+    import zstandard
+
+    docs = spark.read.parquet(SF)
+    model = langid.train(docs.filter(~langid.held_out()))
+    for r in langid.predict(docs, model, ["doc_id", "text"]).orderBy("doc_id").limit(60).collect():
+        raw = "".join(c if c.isalpha() else " " for c in r.text.lower())
+        raw = (" " if raw[:1] == " " else "") + " ".join(raw.split()) + (" " if raw[-1:] == " " and raw.strip() else "")
+        sizes = []
+        for _, content in model:
+            own = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+            packer = zstandard.ZstdCompressor(level=langid.LEVEL, dict_data=own, write_content_size=False, write_checksum=False, write_dict_id=False)
+            pieces = [raw.encode()[i : i + langid.BLOCK] for i in range(0, len(raw.encode()), langid.BLOCK)]
+            sizes.append(sum(len(packer.compress(p)) - len(packer.compress(b"")) for p in pieces))
+        first, second = sorted(sizes)[:2]
+        assert r.score == pytest.approx((second - first) / second, abs=0.02)
+        assert r.rejected or sizes[[k for k, _ in model].index(r.lang_pred)] <= first + 2
+
+
+def test_repeated_rows_at_a_border_are_taken_as_far_as_they_fit(spark):
+    from pyspark.sql import functions as F
+
+    rows = [(i, " ".join([f"w{i}"] * 5), "a") for i in range(40)] + [(77, "x y z", "a")] * 500 + [(None, f"n{i} m", "a") for i in range(60)]
+    docs = table(spark, rows, "doc_id long, text string, source string").withColumns({c: F.lit(c) for c in ("_key", "_s", "s", "epochs", "a.b", "nth", "times", "last")})
+    for share in (0.2, 0.5, 0.9, 1.3):
+        whole = mixing.mixed_rows(docs, share=share)
+        assert whole.columns == docs.columns
+        got = whole.collect()
+        total = sum(len(t.split()) for _, t, _ in rows)
+        assert abs(sum(len(r.text.split()) for r in got) - share * total) <= 5
+        assert all(r["a.b"] == "a.b" and r.epochs == "epochs" and r._key == "_key" for r in got)

@@ -24,8 +24,8 @@ def terms(text, spans):
 @pytest.mark.parametrize("term_bytes", [privacy.TERM_BYTES, -1])
 def test_terms_far_from_the_entity_and_in_other_texts(spark, term_bytes):
     docs = spark.createDataFrame(rows(), "doc_id long, text string")
-    got = {(r.doc_id, r.spans) for r in privacy.privacy_report(docs, everywhere=True, term_bytes=term_bytes).collect()}
-    assert privacy.privacy_report(docs, everywhere=True, term_bytes=term_bytes).count() == len(rows())
+    got = {(r.doc_id, r.spans) for r in privacy.privacy_report(docs, term_bytes=term_bytes).collect()}
+    assert privacy.privacy_report(docs, term_bytes=term_bytes).count() == len(rows())
     got = dict(got)
     for d, t in rows():
         want = {2000: ["zanzibar", "ZANZIBAR"], 2001: ["zanzibar"], None: ["zanzibar"]}.get(d, ["zanzibar", "Zanzibar"] if d and 1000 <= d < 2000 else [])

@@ -21,7 +21,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import prepare
+from .common import prepare, quoted
 
 LANGUAGES, EXCERPTS, EXCERPT = 256, 128, 2048
 BLOCK, LEVEL = 4096, 6
@@ -93,8 +93,8 @@ def predict(docs: DataFrame, model: list[tuple[str, bytes]], keep: list[str], on
     shared = spark.sparkContext.broadcast(model)
     extra = [] if only_accepted else ["lang_pred string", "score double", "rejected boolean"]
     columns = keep if "text" in keep else [*keep, "text"]
-    docs = docs.select(*columns)
-    schema = ", ".join([*(f"`{c}` {t}" for c, t in docs.dtypes if c in keep), *extra])
+    docs = docs.select(*[quoted(c) for c in columns])
+    schema = ", ".join([*(f"{quoted(c)} {t}" for c, t in docs.dtypes if c in keep), *extra])
 
     def run(batches):
         own = Classifier(shared.value)

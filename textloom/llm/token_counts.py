@@ -21,8 +21,8 @@ from .common import prepare
 RANKS = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Fixed pre-tokenisation pattern of this vocabulary.
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-#: Lengths in a bucket of the first level of suffix sums; characters of a text that are encoded at once.
-SPAN, PIECE = 1024, 1 << 20
+#: Lengths in a bucket of the first level of suffix sums.
+SPAN = 1024
 
 
 def encoder(ranks: bytes, pattern: str = PATTERN):
