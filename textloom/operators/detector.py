@@ -116,7 +116,7 @@ class Detector:
 
 def labelled_features(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """Features of labelled documents (labels: doc_id, label), with a train or test part dealt by hash of doc_id."""
-    known = docs.join(labels, "doc_id").select("doc_id", "text", "label")
+    known = docs.select("doc_id", "text").join(labels.select("doc_id", "label"), "doc_id")
     split = F.when(F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(10)) < 7, "train").otherwise("test")
     return assemble(known).join(known.select("doc_id", "label", split.alias("split")), "doc_id")
 
@@ -141,7 +141,7 @@ def adversarial_benchmark(docs: DataFrame, labels: DataFrame, severity: float =
     Only texts with label 1 are attacked, and only the boosted model sees sanitised texts. All variants are one table with an
     attack column, whose features are made in one pass.
     """
-    known = docs.join(labels, "doc_id").select("doc_id", "text", "label")
+    known = docs.select("doc_id", "text").join(labels.select("doc_id", "label"), "doc_id")
     clean = labelled_features(docs, labels).persist()
     tested = known.join(clean.filter("split = 'test'").select("doc_id"), "doc_id")
     attacked = perturb.apply_attacks(tested, list(kinds), severity).withColumn("text", F.when(F.col("label") == 1, F.col("perturbed_text")).otherwise(F.col("text")))

@@ -27,10 +27,6 @@ def text_stats(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", n.alias("words"), F.length("text").alias("chars"), F.greatest(F.lit(1), F.ceil(n / 220).cast("int")).alias("read_minutes"))
 
 
-def valid_requests(docs: DataFrame, least: int = 10, most: int = 250_000) -> DataFrame:
-    return docs.filter(F.length("text").between(least, most))
-
-
 #: Fixed patterns of the rule score. Word borders are ASCII, whatever the Java version takes them for.
 _ZERO, _ODD = "[\\u200B-\\u200D\\uFEFF]", "[\\u0400-\\u04FF\\u0370-\\u03FF]"
 _RULE_SENTENCE = "(?<![^.!?])[^.!?]++[.!?]++"  # from the start of a run, so that runs without an end are scanned once
@@ -104,6 +100,7 @@ def diagnostics(features: DataFrame, report: Column | None = None, mode: str = "
     def finding(condition, category, severity, title):
         return F.when(condition, F.struct(F.lit(category).alias("category"), F.lit(severity).alias("severity"), F.lit(title).alias("title")))
 
+    # Categories, severities, titles and limits.
     rows = []
     if report is not None:
         rows.append(finding(report["zero_width_count"] > 0, "SECURITY", "CRITICAL", "Invisible Zero-Width Character Injection Detected"))

@@ -43,6 +43,28 @@ FEATURES = [f"{p}_{c}" for p, names in FAMILIES.items() for c in names]
 KEY = ("doc_id",)
 
 
+#: What several branches read of a text. assemble() computes each once, as a column of this name that it hands on.
+SHARED = {
+    "_tok": lambda text: T.tokens(text),
+    "_alpha": lambda text: T.alpha_tokens(text),
+    "_sent": lambda text: T.sentences(text),
+    "_para": lambda text: T.paragraphs(text),
+    "_slen": lambda text: F.transform(T.sentences(text), T.n_space_words),
+    "_start": lambda text: F.transform(T.sentences(text), lambda s: T.starter(s)),
+}
+
+
+def _of(b: DataFrame, name: str) -> Column:
+    """A shared column, or its expression where b hasn't got it."""
+    return F.col(name) if name in b.columns else SHARED[name](F.col("text"))
+
+
+def share(b: DataFrame) -> DataFrame:
+    """b (doc_id, text) with the shared columns; those made of sentences read the sentences' column."""
+    b = b.select("doc_id", "text", *[SHARED[c](F.col("text")).alias(c) for c in ("_tok", "_alpha", "_sent", "_para")])
+    return b.select("*", F.transform("_sent", T.n_space_words).alias("_slen"), F.transform("_sent", lambda s: T.starter(s)).alias("_start"))
+
+
 def spread(df: DataFrame) -> DataFrame:
     """df in at least as many partitions as there are cores: small files have few row groups, and features take much work a row."""
     cores = df.sparkSession.sparkContext.defaultParallelism
@@ -86,7 +108,7 @@ def _again(counts: str) -> Column:
 def stylometry_scalars(b: DataFrame, keep: tuple[str, ...] = KEY) -> DataFrame:
     """Stylometric features that need no counts by token."""
     tok, text = F.col("tok"), F.col("_text")
-    b = b.select(*keep, F.col("text").alias("_text")).select(*keep, "_text", F.lower(text).alias("lower"), T.tokens(text).alias("tok"), T.sentences(text).alias("sent"), T.paragraphs(text).alias("para"))
+    b = b.select(*keep, F.col("text").alias("_text"), F.lower("text").alias("lower"), _of(b, "_tok").alias("tok"), _of(b, "_sent").alias("sent"), _of(b, "_para").alias("para"))
     b = b.withColumn("len", F.transform("tok", F.length)).withColumn("slen", F.transform("sent", lambda s: F.size(T.tokens(s))))
     n, chars = F.size(tok), F.length(text)
     per_char = {"comma": ",", "period": ".", "question": "?", "exclamation": "!", "semicolon": ";", "colon": ":", "dash": "-—", "quote": "\"'“”"}
@@ -115,9 +137,10 @@ def stylometry_scalars(b: DataFrame, keep: tuple[str, ...] = KEY) -> DataFrame:
 
 def structural_scalars(b: DataFrame, keep: tuple[str, ...] = KEY) -> DataFrame:
     text = F.col("_text")
-    b = b.select(*keep, F.col("text").alias("_text")).select(*keep, "_text", F.lower(text).alias("lower"), T.sentences(text).alias("sent"), T.paragraphs(text).alias("para"))
-    b = b.withColumn("plen", F.transform("para", T.n_space_words)).withColumn("psent", F.transform("para", lambda p: F.size(T.sentences(p))))
-    b = b.withColumn("slen", F.transform("sent", T.n_space_words)).withColumn("start", F.transform("sent", lambda s: T.starter(s))).withColumn("heads", F.size(T.headings(text)))
+    b = b.select(*keep, F.col("text").alias("_text"), F.lower("text").alias("lower"), _of(b, "_sent").alias("sent"), _of(b, "_para").alias("para"), _of(b, "_slen").alias("slen"), _of(b, "_start").alias("start"))
+    # A text of one paragraph is its own paragraph, but for white space around it, and has its sentences.
+    whole = F.when(F.size("para") == 1, F.array(F.size("sent"))).otherwise(F.transform("para", lambda p: F.size(T.sentences(p))))
+    b = b.withColumn("plen", F.transform("para", T.n_space_words)).withColumn("psent", whole).withColumn("heads", F.size(T.headings(text)))
     for family, words in L.TRANSITIONS.items():
         b = b.withColumn(f"transition_{family}_count", T.markers(F.col("lower"), words))
     families = [f"transition_{k}_count" for k in L.TRANSITIONS]
@@ -153,18 +176,17 @@ def structural_scalars(b: DataFrame, keep: tuple[str, ...] = KEY) -> DataFrame:
 
 def sentence_counts(b: DataFrame, keep: tuple[str, ...] = KEY) -> DataFrame:
     """Features of repeated sentences and of words that start sentences or paragraphs."""
-    text = F.col("text")
     lower = lambda s: F.array_join(T.space_words(F.lower(s)), " ")
-    b = b.select(*keep, T.sentences(text).alias("sent"), T.paragraphs(text).alias("para"))
+    b = b.select(*keep, _of(b, "_sent").alias("sent"), _of(b, "_para").alias("para"), _of(b, "_start").alias("start"))
     if keep == KEY:
         b = b.filter(F.size("sent") > 0)
-    kinds = {"start": F.transform("sent", lambda s: T.starter(s)), "raw": F.transform("sent", lambda s: T.starter(s, None)), "para": F.transform("para", lambda s: T.starter(s)), "whole": F.transform("sent", lower)}
+    kinds = {"start": F.col("start"), "raw": F.transform("sent", lambda s: T.starter(s, None)), "para": F.transform("para", lambda s: T.starter(s)), "whole": F.transform("sent", lower)}
     b = b.select(*keep, *[run_counts(x).alias(k) for k, x in kinds.items()])
     return b.select(*keep, _again("start").alias("str_repeated_starter_ratio"), _again("para").alias("str_paragraph_start_repetition"), _again("whole").alias("prd_exact_sentence_repeat_rate"), _entropy("raw", _sum(F.col("raw"), lambda c: c)).alias("prd_sentence_start_entropy"))
 
 
 def sentence_variation(b: DataFrame, keep: tuple[str, ...] = KEY) -> DataFrame:
-    b = b.select(*keep, F.size(T.tokens(F.col("text"))).alias("n"), F.transform(T.sentences(F.col("text")), T.n_space_words).alias("slen"))
+    b = b.select(*keep, F.size(_of(b, "_tok")).alias("n"), _of(b, "_slen").alias("slen"))
     return b.select(*keep, F.when(F.col("n") > 0, T.ratio(T.deviation(F.col("slen")), T.mean(F.col("slen")))).otherwise(0.0).alias("prd_sentence_length_cv"))
 
 
@@ -185,7 +207,7 @@ def gram_features(b: DataFrame, keep: tuple[str, ...] = KEY) -> DataFrame:
     Counts are run lengths of sorted arrays: nothing is exploded, grouped or shuffled. Rank features depend on counts only,
     as words of one count hold a stretch of ranks whichever order they take in it.
     """
-    b = b.select(*keep, T.tokens(F.col("text")).alias("tok"))
+    b = b.select(*keep, _of(b, "_tok").alias("tok"))
     b = b.select(*keep, F.size("tok").cast("double").alias("n"), F.sort_array(run_counts(F.col("tok")), asc=False).alias("c1"), *[gram_run_counts("tok", k).alias(f"c{k}") for k in (2, 3)])
     if keep == KEY:
         b = b.filter("n > 0")
@@ -260,7 +282,7 @@ def neighbours(tok: Column) -> Column:
 
 def position_features(b: DataFrame, keep: tuple[str, ...] = KEY) -> DataFrame:
     """MTLD, burstiness and vocabulary growth, from each token's distance to its neighbours of the same word."""
-    b = b.select(*keep, T.tokens(F.col("text")).alias("tok"))
+    b = b.select(*keep, _of(b, "_tok").alias("tok"))
     if keep == KEY:
         b = b.filter(F.size("tok") > 0)
     b = b.select(*keep, F.size("tok").alias("n"), neighbours(F.col("tok")).alias("ahead"))
@@ -295,8 +317,7 @@ def char_features(b: DataFrame, keep: tuple[str, ...] = KEY) -> DataFrame:
 
 
 def semantic_scalars(b: DataFrame, keep: tuple[str, ...] = KEY) -> DataFrame:
-    text = F.col("text")
-    b = b.select(*keep, T.alpha_tokens(text).alias("w"), F.transform(T.sentences(text), lambda s: F.array_distinct(T.alpha_tokens(s))).alias("sets"))
+    b = b.select(*keep, _of(b, "_alpha").alias("w"), F.transform(_of(b, "_sent"), lambda s: F.array_distinct(T.alpha_tokens(s))).alias("sets"))
     n, size = F.size("sets"), F.size("w")
     cut = lambda k: F.slice("sets", F.lit(k), F.greatest(n - 1, F.lit(0)))
     b = b.withColumn("sims", F.zip_with(cut(1), cut(2), lambda x, y: T.ratio(F.size(F.array_intersect(x, y)), F.size(F.array_union(x, y)))))
@@ -321,7 +342,7 @@ def cross_entropies(b: DataFrame, keep: tuple[str, ...] = KEY, alpha: float = 0.
 
     The sum of c log((c + alpha) / (of + alpha v)) parts into sums over the counts c of grams and the counts of their prefixes.
     """
-    b = b.select(*keep, T.alpha_tokens(F.col("text")).alias("w"))
+    b = b.select(*keep, _of(b, "_alpha").alias("w"))
     if keep == KEY:
         b = b.filter(F.size("w") > 1)
     size = F.size("w")
@@ -351,9 +372,11 @@ BRANCHES = {
 def assemble(docs: DataFrame, families: tuple[str, ...] = ("sty", "str", "prd", "sem"), text: str = "text") -> DataFrame:
     """doc_id and the families' features in their fixed order, as doubles; 0 where a text is too short for a feature.
 
-    A chain of projections, row by row: no join, no aggregation and, after base(), no exchange. Null texts count as empty.
+    A chain of projections, row by row: no join, no aggregation and, after base(), no exchange. A text is tokenised and cut into
+    sentences once for all branches. Null texts count as empty.
     """
-    b, keep = base(docs, text), ("doc_id", "text")
+    b = share(base(docs, text))
+    keep = tuple(b.columns)
     for branch in dict.fromkeys(x for f in families for x in BRANCHES[f]):
         b = branch(b, keep)
         keep = tuple(b.columns)

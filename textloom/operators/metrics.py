@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.names import fresh
+
 #: Bits of a score that make up a range for two-level cumulative sums.
 RANGES = 256
 
@@ -28,13 +30,14 @@ def curve(scores: DataFrame, by: list[str] | None = None) -> DataFrame:
     """
     by = by or []
     points = scores.groupBy(*by, "score").agg(F.count_if(F.col("label") == 1).alias("pos"), F.count_if(F.col("label") != 1).alias("neg"))
-    points = points.withColumn("_r", F.floor(F.col("score") * RANGES))
-    sums = points.groupBy(*by, "_r").agg(F.sum("pos").alias("p"), F.sum("neg").alias("n"))
+    r, above_pos, above_neg = fresh(points, "r", "above_pos", "above_neg")
+    points = points.withColumn(r, F.floor(F.col("score") * RANGES))
+    sums = points.groupBy(*by, r).agg(F.sum("pos").alias("p"), F.sum("neg").alias("n"))
     every = W.partitionBy(*by)
-    down = every.orderBy(F.desc("_r")).rowsBetween(W.unboundedPreceding, -1)
-    sums = sums.select(*by, "_r", F.coalesce(F.sum("p").over(down), F.lit(0)).alias("_p"), F.coalesce(F.sum("n").over(down), F.lit(0)).alias("_n"), F.sum("p").over(every).alias("all_pos"), F.sum("n").over(every).alias("all_neg"))
-    own = W.partitionBy(*by, "_r").orderBy(F.desc("score"))
-    out = points.join(sums, [*by, "_r"]).withColumn("tp", F.col("_p") + F.sum("pos").over(own)).withColumn("fp", F.col("_n") + F.sum("neg").over(own))
+    down = every.orderBy(F.desc(r)).rowsBetween(W.unboundedPreceding, -1)
+    sums = sums.select(*by, r, F.coalesce(F.sum("p").over(down), F.lit(0)).alias(above_pos), F.coalesce(F.sum("n").over(down), F.lit(0)).alias(above_neg), F.sum("p").over(every).alias("all_pos"), F.sum("n").over(every).alias("all_neg"))
+    own = W.partitionBy(*by, r).orderBy(F.desc("score"))
+    out = points.join(sums, [*by, r]).withColumn("tp", F.col(above_pos) + F.sum("pos").over(own)).withColumn("fp", F.col(above_neg) + F.sum("neg").over(own))
     return out.select(*by, "score", "pos", "neg", "tp", "fp", "all_pos", "all_neg")
 
 
@@ -70,9 +73,9 @@ def ece(scores: DataFrame, bins: int = 10, by: list[str] | None = None) -> DataF
 
 def evaluate(scores: DataFrame, threshold: float = 0.5, by: list[str] | None = None, digits: int = 4) -> DataFrame:
     """All metrics, a row per group of `by` (one row without), rounded."""
-    one = [] if by else ["_one"]
+    one = [] if by else fresh(scores, "one")
     by = by or one
-    scores = scores.withColumn("_one", F.lit(1)) if one else scores
+    scores = scores.withColumn(one[0], F.lit(1)) if one else scores
     out = binary(scores, threshold, by).join(ranking(scores, by), by).join(ece(scores, by=by), by, "left").withColumn("ece", F.coalesce("ece", F.lit(0.0)))
     doubles = [c for c, t in out.dtypes if t == "double"]
-    return out.select(*[c for c in by if c != "_one"], *[F.round(c, digits).alias(c) if c in doubles else F.col(c) for c in out.columns if c not in by])
+    return out.select(*[c for c in by if c not in one], *[F.round(c, digits).alias(c) if c in doubles else F.col(c) for c in out.columns if c not in by])

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 from ..functions import lexicons as L
 
 _STRIP = r"regexp_replace({}, '^\s+|\s+$', '', 'g')"
@@ -270,16 +272,44 @@ _BACK: dict[str, list[str]] = {}
 for _odd, _plain in L.HOMOGLYPHS.items():
     _BACK.setdefault(_plain, []).append(_odd)
 _LETTERS = r"regexp_matches(c, '^[\p{L}\p{N}]$')"
-_ZW = f"array_to_string(list_transform(string_split(text, ''), lambda c, i: CASE WHEN {_LETTERS} AND {_draw('zw', 'i - 1')} < 0.06 THEN c || {_pick(_list(L.ZERO_WIDTH), _draw('zw_pick', 'i - 1'))} ELSE c END), '')"
-_HOMO = f"array_to_string(list_transform(string_split(text, ''), lambda c, i: CASE WHEN c <> '' AND contains({_q(''.join(_BACK))}, c) AND {_draw('homo', 'i - 1')} < 0.09 THEN {_pick('(' + _case([(k, _list(v)) for k, v in _BACK.items()], 'c') + ')', _draw('homo_pick', 'i - 1'))} ELSE c END), '')"
-_digest = "SELECT doc_id, length(t)::BIGINT AS perturbed_length, md5(t) AS digest FROM ({})".format
-ZERO_WIDTH = _digest(f"SELECT doc_id, {_ZW} AS t FROM documents")
-HOMOGLYPH = _digest(f"SELECT doc_id, {_HOMO} AS t FROM documents")
+
+
+def _zero_width(rate: float, text: str = "text") -> str:
+    return f"array_to_string(list_transform(string_split({text}, ''), lambda c, i: CASE WHEN {_LETTERS} AND {_draw('zw', 'i - 1')} < {rate!r}::DOUBLE THEN c || {_pick(_list(L.ZERO_WIDTH), _draw('zw_pick', 'i - 1'))} ELSE c END), '')"
+
+
+def _homoglyph(rate: float, text: str = "text") -> str:
+    return f"array_to_string(list_transform(string_split({text}, ''), lambda c, i: CASE WHEN c <> '' AND contains({_q(''.join(_BACK))}, c) AND {_draw('homo', 'i - 1')} < {rate!r}::DOUBLE THEN {_pick('(' + _case([(k, _list(v)) for k, v in _BACK.items()], 'c') + ')', _draw('homo_pick', 'i - 1'))} ELSE c END), '')"
+
+
 _BARE = r"lower(regexp_replace(w, '[^\p{L}\p{N}_]', '', 'g'))"
 _NEW = _pick("(" + _case([(k, _list(v)) for k, v in L.SYNONYMS.items()], _BARE) + ")", _draw("syn_pick", "i - 1"))
 _TITLE = r"regexp_matches(w, '^[^\p{L}]*\p{Lu}[^\p{Lu}]*$')"
 _CASED = f"(CASE WHEN {_TITLE} THEN upper(substr({_NEW}, 1, 1)) || lower(substr({_NEW}, 2)) ELSE {_NEW} END)"
-SYNONYM = _digest(f"SELECT doc_id, array_to_string(list_transform({_ws('text')}, lambda w, i: CASE WHEN {_BARE} IN ({', '.join(map(_q, L.SYNONYMS))}) AND {_draw('syn', 'i - 1')} < 0.175 THEN {_CASED} || regexp_extract(w, '[^\\p{{L}}\\p{{N}}]$') ELSE w END), ' ') AS t FROM documents".replace("\\\\", "\\"))
+_TAIL = r"regexp_extract(w, '[^\p{L}\p{N}]$')"
+
+
+def _synonym(rate: float, text: str = "text") -> str:
+    return f"array_to_string(list_transform({_ws(text)}, lambda w, i: CASE WHEN {_BARE} IN ({', '.join(map(_q, L.SYNONYMS))}) AND {_draw('syn', 'i - 1')} < {rate!r}::DOUBLE THEN {_CASED} || {_TAIL} ELSE w END), ' ')"
+
+
+def _jittered(source: str) -> str:
+    """(doc_id, t) of a table (doc_id, t): sentences cut and filled."""
+    half = lambda mark, opener: f"[substr(x, 1, instr(x, {_q(mark)}) - 1) || '.', {_q(opener)} || substr(x, instr(x, {_q(mark)}) + {len(mark)})]"
+    cut = f"flatten(list_transform({_sent('t')}, lambda x, i: CASE WHEN contains(x, ', and ') AND {_draw('and', 'i - 1')} < 0.3 THEN {half(', and ', 'And ')} WHEN contains(x, ', but ') AND {_draw('but', 'i - 1')} < 0.3 THEN {half(', but ', 'However, ')} ELSE [x] END))"
+    fill = f"list_transform(p, lambda y, i: CASE WHEN i - 1 = floor({_draw('filler_at', '0')} * len(p))::INT THEN {_pick(_list(L.FILLERS), _draw('filler_pick', '0'))} || ' ' || y ELSE y END)"
+    return f"SELECT doc_id, CASE WHEN len(p) = 0 THEN t WHEN {_draw('filler', '0')} < 0.4 THEN array_to_string({fill}, ' ') ELSE array_to_string(p, ' ') END AS t FROM (SELECT doc_id, t, {cut} AS p FROM ({source}))"
+
+
+_ZW, _HOMO = _zero_width(0.06), _homoglyph(0.09)
+_digest = "SELECT doc_id, length(t)::BIGINT AS perturbed_length, md5(t) AS digest FROM ({})".format
+ZERO_WIDTH = _digest(f"SELECT doc_id, {_ZW} AS t FROM documents")
+HOMOGLYPH = _digest(f"SELECT doc_id, {_HOMO} AS t FROM documents")
+SYNONYM = _digest(f"SELECT doc_id, {_synonym(0.175)} AS t FROM documents")
+_HUMANIZER = _jittered(f"SELECT doc_id, {_synonym(0.18)} AS t FROM documents")
+_COMBINED = _jittered(f"SELECT doc_id, {_synonym(0.075, 'h')} AS t FROM (SELECT doc_id, {_homoglyph(0.015)} AS h FROM documents)")
+ATTACKS = "WITH x AS (" + " UNION ALL ".join(f"SELECT doc_id, {_q(k)} AS attack_type, t FROM ({v})" for k, v in (("zero_width", f"SELECT doc_id, {_ZW} AS t FROM documents"), ("homoglyph", f"SELECT doc_id, {_HOMO} AS t FROM documents"), ("synonym", f"SELECT doc_id, {_synonym(0.175)} AS t FROM documents"), ("humanizer", _HUMANIZER), ("combined", _COMBINED))) + """)
+SELECT doc_id, attack_type, 0.5::DOUBLE AS severity, length(text)::INT AS original_length, length(t)::INT AS perturbed_length, md5(t) AS digest FROM x JOIN documents USING (doc_id)"""
 
 _TAMPERED = f"t0 AS MATERIALIZED (SELECT doc_id, {_ZW} AS text FROM documents), t1 AS MATERIALIZED (SELECT doc_id, {_HOMO} AS text FROM t0)"
 _COUNT = lambda chars: "(length(text) - length(translate(text, " + _q(chars) + ", '')))"
@@ -315,3 +345,80 @@ SELECT bin::BIGINT AS bin, count(*)::BIGINT AS n, round(avg(label), 6)::DOUBLE A
 SIGNALS = f"""WITH t AS (SELECT doc_id, {_tok("text")} AS tok FROM documents), x AS (SELECT doc_id, len(list_distinct(tok))::DOUBLE / len(tok) AS ttr, coalesce(sem_semantic_monotony_index, 0) AS m FROM t JOIN ({SEM_SCALARS}) s USING (doc_id) WHERE len(tok) > 0)
 SELECT doc_id, 'sty_ttr' AS feature, 'low' AS ai_indicative, round(ttr, 4) AS value, 1.0::DOUBLE AS weight_impact FROM x UNION ALL SELECT doc_id, 'sem_semantic_monotony_index', 'high', round(m, 4), 1.0::DOUBLE FROM x"""
 WINDOWS = """SELECT time_bucket(INTERVAL 5 MINUTE, ts) AS window_start, event_type, count(*)::BIGINT AS n FROM events GROUP BY ALL"""
+
+NEAR_DEDUP = f"""WITH RECURSIVE {_SHINGLES}, p AS MATERIALIZED (SELECT id_a, id_b FROM j JOIN k x ON x.doc_id = id_a JOIN k y ON y.doc_id = id_b WHERE c::DOUBLE / (x.n + y.n - c) >= 0.8),
+o AS MATERIALIZED (SELECT id, row_number() OVER (ORDER BY id) AS nth, coalesce(list(id_a) FILTER (id_a IS NOT NULL), []) AS earlier FROM (SELECT id_a AS id FROM p UNION SELECT id_b FROM p) q LEFT JOIN p ON id_b = id GROUP BY id),
+g AS (SELECT 0::BIGINT AS nth, []::BIGINT[] AS kept UNION ALL SELECT o.nth, CASE WHEN list_has_any(kept, earlier) THEN kept ELSE list_append(kept, id) END FROM g JOIN o ON o.nth = g.nth + 1),
+f AS (SELECT arg_max(kept, nth) AS kept FROM g)
+SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT id FROM o, f WHERE NOT list_contains(kept, id))"""
+
+_TREE = """l AS (SELECT substr(sha256(sample_id), 1, 4) AS r, sha256(string_agg(content_hash, '' ORDER BY sample_id)) AS h FROM s GROUP BY ALL),
+m AS (SELECT substr(r, 1, 2) AS q, sha256(string_agg(h, '' ORDER BY r)) AS h FROM l GROUP BY ALL)"""
+MANIFEST = f"""WITH s AS (SELECT doc_id::VARCHAR AS sample_id, sha256(text) AS content_hash, source FROM documents), {_TREE}
+SELECT 'documents' AS name, '1.0' AS version, 'Processed documents dataset' AS description, (SELECT count(*) FROM s)::BIGINT AS total_samples, '{{"HUMAN":' || (SELECT count(*) FROM s) || '}}' AS origin_distribution,
+  '{{"OTHER":' || (SELECT count(*) FROM s) || '}}' AS domain_distribution, '{{}}' AS generator_distribution, '{{}}' AS humanizer_distribution, '{{}}' AS split_sizes, (SELECT sha256(string_agg(h, '' ORDER BY q)) FROM m) AS content_hash,
+  (SELECT string_agg(DISTINCT source, ',' ORDER BY source) FROM s) AS source_datasets, '' AS notes"""
+PLAIN_HASH = "SELECT sha256(string_agg(sha256(text), '' ORDER BY doc_id::VARCHAR)) AS content_hash FROM documents"
+
+
+def explanations(names: list[str]) -> str:
+    real = ("prd_burstiness", "prd_unigram_entropy", "str_transition_density", "sty_ttr", "sem_semantic_monotony_index", "sty_std_sentence_length")
+    signals = " UNION ALL ".join(f"SELECT doc_id, 'signal' AS kind, '{c}' AS name, '{'high' if c in ('str_transition_density', 'sem_semantic_monotony_index') else 'low'}' AS of, round({c}, 4)::DOUBLE AS value FROM f" for c in real)
+    tests = (
+        ("zero_width_count > 0", "a", "Invisible Zero-Width Character Injection Detected", "SECURITY CRITICAL"), ("homoglyph_count > 0", "a", "Homoglyph / Confusable Characters Detected", "SECURITY WARNING"),
+        ("sty_std_sentence_length < 3.5", "f", "Low Sentence Rhythm Variation", "STYLE MODERATE"), ("str_transition_density > 0.06", "f", "High Discourse Transition Density", "DISCOURSE MODERATE"), ("prd_burstiness < 0.2", "f", "Low Token Burstiness", "PREDICTABILITY HIGH"),
+    )
+    findings = " UNION ALL ".join(f"SELECT doc_id, 'finding', '{title}', '{of}', 0::DOUBLE FROM {t} WHERE {test}" for test, t, title, of in tests)
+    return f"""WITH f AS MATERIALIZED ({features_all(names)}), a AS MATERIALIZED ({AUDIT}), b AS MATERIALIZED ({BANDS}), r AS MATERIALIZED ({RULE_SCORE}), x AS ({signals} UNION ALL {findings})
+SELECT doc_id, r.ai_probability, b.classification, b.report_band AS confidence_band, kind, name, of, value FROM x JOIN r USING (doc_id) JOIN b USING (doc_id)"""
+
+
+def _sampled(origin: str, seed: int, generator: str) -> str:
+    u = lambda x: f"md5('{seed}:{origin}:' || domain || ':' || k || ':' || {x})"
+    order = f"list_sort(list_transform(bank, lambda s, i: {{'u': {u('(i - 1)')}, 's': s}}))"
+    return f"""SELECT '{origin.lower()}_' || lower(domain) || '_' || k AS sample_id, '{origin}' AS origin, domain, {generator} AS generator,
+  array_to_string(list_transform(({order})[1:3 + ('0x' || substr({u("'n'")}, 1, 1))::BIGINT % 2], lambda y: y.s), ' ') AS text FROM bk, (SELECT unnest(range(10)) AS k)"""
+
+
+_TURN = "(('0x' || substr(md5(doc_id || ':turn:42'), 1, 1))::BIGINT % 4)"
+GENERATED = f"""WITH u AS (SELECT source AS domain, unnest({_sent("text")}) AS s FROM documents), v AS (SELECT domain, s, md5(s) AS h FROM u),
+w AS (SELECT domain, ('0x' || substr(h, 1, 6))::BIGINT % 40 AS slot, min({{'h': h, 's': s}}).s AS s FROM v GROUP BY ALL), bk AS MATERIALIZED (SELECT domain, list(s ORDER BY slot) AS bank FROM w GROUP BY domain),
+ai AS MATERIALIZED ({_sampled("AI_RAW", 42, "'generated'")}), hu AS ({_sampled("HUMAN", 7, "NULL::VARCHAR")}), d AS MATERIALIZED (SELECT sample_id AS doc_id, domain, generator, text, {_TURN.replace("doc_id", "sample_id")} AS turn FROM ai),
+z AS (SELECT doc_id, {_synonym(0.18)} AS t FROM d WHERE turn = 0 UNION ALL SELECT doc_id, {_synonym(0.30)} FROM d WHERE turn = 1 UNION ALL SELECT doc_id, text FROM d WHERE turn = 3),
+y AS (SELECT doc_id, {_synonym(0.3)} AS t FROM d WHERE turn = 2 UNION ALL {_jittered("SELECT doc_id, t FROM z")}),
+al AS (SELECT sample_id, origin, domain, generator, NULL::VARCHAR AS humanizer, 'NONE' AS transformation_severity, NULL::VARCHAR AS parent_id, text FROM (SELECT * FROM ai UNION ALL SELECT * FROM hu)
+  UNION ALL SELECT 'humanized_' || doc_id, 'AI_HUMANIZED', domain, generator, (['humanizer_medium', 'humanizer_high', 'synonym', 'jitter'])[turn + 1], (['MEDIUM', 'HEAVY', 'LIGHT', 'LIGHT'])[turn + 1], doc_id, t FROM d JOIN y USING (doc_id))
+SELECT sample_id, origin, domain, generator, humanizer, transformation_severity, parent_id, len({_ws("text")})::BIGINT AS word_count, sha256(text) AS content_hash FROM al"""
+
+JSONL = "SELECT doc_id, source, md5(text) AS digest FROM documents"
+LABELLED = """WITH x AS (SELECT row_number() OVER (ORDER BY doc_id) - 1 AS k, text, source, quality * 2 + toxic AS code FROM documents JOIN labels USING (doc_id))
+SELECT 'generic_' || k AS sample_id, CASE WHEN code IN (0, 1) THEN 'AI_RAW' ELSE 'HUMAN' END AS origin, source AS generator, k::VARCHAR AS source_id, sha256(text) AS content_hash FROM x"""
+WHOLE = "SELECT item_id, md5(text) AS digest FROM benchmark"
+EXPORTED = "SELECT to_json({'doc_id': doc_id, 'lang': lang, 'source': source, 'n_chars': n_chars})::VARCHAR AS json FROM documents"
+_UNIQUE = f"""e AS MATERIALIZED (SELECT min(doc_id::VARCHAR) AS sample_id FROM documents GROUP BY {_HASH}),
+o AS (SELECT sample_id, row_number() OVER (ORDER BY sha256(sample_id || ':42'), sample_id) - 1 AS r, count(*) OVER () AS n FROM e),
+sp AS MATERIALIZED (SELECT sample_id, CASE WHEN r < floor(0.7 * n) THEN 'train' WHEN r < floor(0.7 * n) + floor(0.15 * n) THEN 'val' ELSE 'test' END AS split FROM o)"""
+BENCHMARK = f"WITH {_UNIQUE} SELECT sample_id, split, upper(source) AS domain, sha256(text) AS content_hash FROM sp JOIN documents ON sample_id = doc_id::VARCHAR"
+BENCHMARK_MANIFEST = f"""WITH {_UNIQUE}, b AS (SELECT split, upper(source) AS domain FROM sp JOIN documents ON sample_id = doc_id::VARCHAR), d AS (SELECT domain, count(*) AS n FROM b GROUP BY domain)
+SELECT 'documents' AS dataset_name, count(*)::BIGINT AS total_samples, count(*) FILTER (split = 'train')::BIGINT AS train_samples, count(*) FILTER (split = 'val')::BIGINT AS val_samples, count(*) FILTER (split = 'test')::BIGINT AS test_samples,
+  (SELECT count(*) FROM documents)::BIGINT AS initial_count, ((SELECT count(*) FROM documents) - count(*))::BIGINT AS exact_duplicates_removed, count(*)::BIGINT AS final_count,
+  '{{' || (SELECT string_agg('"' || domain || '":' || n, ',' ORDER BY domain) FROM d) || '}}' AS domains FROM b"""
+REJECTS = "SELECT doc_id, CASE WHEN length(text) < 300 THEN 'too_short' ELSE 'too_long' END AS reason, length(text)::BIGINT AS char_count FROM documents WHERE length(text) < 300 OR length(text) > 5000"
+BATCHES = "SELECT (doc_id % 23)::BIGINT AS batch, count(*)::BIGINT AS n, CASE WHEN count(*) > 42 THEN 'too_many' END AS reason FROM documents GROUP BY ALL"
+_tidied = lambda t: _strip(f"regexp_replace(regexp_replace({t}, '[ \t]+', ' ', 'g'), chr(10) || '{{3,}}', chr(10) || chr(10), 'g')")
+_VISIBLE = f"translate(text, {_q(''.join(L.ZERO_WIDTH))}, '')"
+_unalike = lambda t: f"translate({t}, {_q(''.join(L.HOMOGLYPHS))}, {_q(''.join(L.HOMOGLYPHS.values()))})"
+CHOSEN = f"""WITH {_TAMPERED} SELECT doc_id, md5(CASE WHEN doc_id % 2 = 0 THEN {_tidied(_unalike(_VISIBLE))} ELSE text END) AS digest, ({_COUNT("".join(L.ZERO_WIDTH) + "".join(L.HOMOGLYPHS))} > 0) AS tampered,
+  len(regexp_extract_all(text, '[^\\s\\x0b\\x1c-\\x1f\\x85\\p{{Z}}]+'))::BIGINT AS word_count, length(text)::BIGINT AS char_count FROM t1""".replace("\\\\", "\\")
+TOGGLES = f"WITH {_TAMPERED} SELECT doc_id, md5({_tidied(_VISIBLE)}) AS invisible, md5({_tidied(_unalike('text'))}) AS alike, md5({_tidied(_unalike(_VISIBLE))}) AS both FROM t1"
+
+
+def _details(table: list[tuple[str, str, str]]) -> str:
+    values = ", ".join(f"({_q(c)}, {_q(r)}, {_q(n)})" for c, r, n in table)
+    return f"SELECT doc_id, position, x.char, replacement, name FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY position) AS nth FROM p JOIN (VALUES {values}) x(char, replacement, name) ON p.char = x.char) x WHERE nth <= 20"
+
+
+DETAILS = f"""WITH {_TAMPERED}, p AS MATERIALIZED (SELECT doc_id, unnest(string_split(text, '')) AS char, unnest(range(length(text)))::BIGINT AS position FROM t1)
+{_details([(c, r, unicodedata.name(c, "UNKNOWN")) for c, r in L.HOMOGLYPHS.items()])} UNION ALL {_details([(c, "", n) for c, n in L.ZERO_WIDTH.items()])}"""
+VERDICTS = f"""WITH {_RULE}, x AS (SELECT time_bucket(INTERVAL 5 MINUTE, make_timestamp((doc_id % 3600) * 1000000)) AS window_start, CASE WHEN p >= 0.5 THEN 'AI_GENERATED' ELSE 'HUMAN_AUTHORED' END AS classification, round(p, 3)::DOUBLE AS p FROM r3)
+SELECT window_start, classification, count(*)::BIGINT AS n, round(avg(p), 6) AS mean_probability FROM x GROUP BY ALL"""

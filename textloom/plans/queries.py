@@ -8,9 +8,10 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import curation, detector, explain, features, metrics, perturb, sanitize
+from ..functions.names import shared_folder
+from ..operators import curation, detect, detector, explain, features, metrics, perturb, sanitize
 from ..sources import corpora
-from ..streaming import replay
+from ..streaming import replay, streams
 from . import oracles
 
 
@@ -62,11 +63,16 @@ def feature_signals(spark, sf_dir):
 
 
 def explanations(spark, sf_dir):
-    """Full packages in intended mode over tampered texts."""
-    docs = _tampered(spark, sf_dir)
-    audited = sanitize.sanitize(docs).select("doc_id", "audit")
-    rows = features.assemble(docs).join(audited, "doc_id").join(explain.rule_score(docs).select("doc_id", "ai_probability"), "doc_id")
-    return explain.explanation(rows, mode="intended")
+    """Packages in intended mode, a row per signal and finding: features and score of the documents, audit of their tampered variants."""
+    docs = _docs(spark, sf_dir)
+    audited = sanitize.sanitize(_tampered(spark, sf_dir)).select("doc_id", "audit")
+    rows = rounded(features.assemble(docs)).join(audited, "doc_id").join(explain.rule_score(docs).select("doc_id", "ai_probability"), "doc_id")
+    shared_folder(spark)
+    rows = explain.explanation(rows, mode="intended").checkpoint()  # the filters that explode() infers would copy features' whole expressions
+    head = ["doc_id", "ai_probability", "classification", "confidence_band"]
+    signals = rows.select(*head, F.explode("feature_attributions").alias("x")).select(*head, F.lit("signal").alias("kind"), F.col("x.feature").alias("name"), F.col("x.ai_indicative").alias("of"), F.round("x.value", 4).alias("value"))
+    findings = rows.select(*head, F.explode("linguistic_diagnostics").alias("x")).select(*head, F.lit("finding").alias("kind"), F.col("x.title").alias("name"), F.concat_ws(" ", "x.category", "x.severity").alias("of"), F.lit(0.0).alias("value"))
+    return signals.unionByName(findings)
 
 
 def exact_dedup(spark, sf_dir):
@@ -145,7 +151,8 @@ def canonical_table(spark, sf_dir):
 def corpus_manifest(spark, sf_dir):
     docs = _docs(spark, sf_dir)
     rows = corpora.canonical(docs.select(F.col("doc_id").alias("sample_id"), "text", F.col("lang").alias("language"), F.col("source").alias("source_dataset")))
-    return corpora.manifest(rows, "documents").select("name", "version", "total_samples", F.to_json("origin_distribution").alias("origins"), "content_hash")
+    maps = [F.to_json(c).alias(c) for c in ("origin_distribution", "domain_distribution", "generator_distribution", "humanizer_distribution", "split_sizes")]
+    return corpora.manifest(rows, "documents").select("name", "version", "description", "total_samples", *maps, "content_hash", F.array_join("source_datasets", ",").alias("source_datasets"), "notes")
 
 
 def ingest_answers(spark, sf_dir):
@@ -163,15 +170,116 @@ def label_origins(spark, sf_dir):
 
 
 def generated_corpus(spark, sf_dir):
-    """A corpus of generated samples and their humanised children, from sentences of the documents as banks."""
-    sentences = _docs(spark, sf_dir).select("source", F.explode(T.sentences(F.col("text"))).alias("s")).withColumn("h", F.xxhash64("s"))
-    rows = sentences.groupBy("source", F.pmod("h", F.lit(40)).alias("slot")).agg(F.min(F.struct("h", "s")).alias("x"))  # 40 sentences a source
-    bank: dict[str, list[str]] = {}
-    for r in rows.orderBy("source", "slot").collect():
-        bank.setdefault(r.source, []).append(r.x.s)
+    """A corpus of generated samples and their humanised children, from sentences of the documents as banks: 40 a source."""
+    sentences = _docs(spark, sf_dir).select(F.col("source").alias("domain"), F.explode(T.sentences(F.col("text"))).alias("s")).withColumn("h", F.md5("s"))
+    slot = F.conv(F.substring("h", 1, 6), 16, 10).cast("int") % 40
+    rows = sentences.groupBy("domain", slot.alias("slot")).agg(F.min(F.struct("h", "s")).alias("x"))
+    bank = rows.groupBy("domain").agg(F.transform(F.array_sort(F.collect_list(F.struct("slot", "x"))), lambda y: y["x"]["s"]).alias("bank"))
     ai = corpora.generated_corpus(spark, bank, 10, "AI_RAW", generator="generated")
     rows = ai.unionByName(corpora.generated_corpus(spark, bank, 10, "HUMAN", seed=7)).unionByName(corpora.humanized_children(ai))
-    return rows.select("sample_id", "origin", "domain", "generator", "humanizer", "transformation_severity", "parent_id", "word_count", "content_hash")
+    return rows.select("sample_id", "origin", "domain", "generator", "humanizer", "transformation_severity", "parent_id", F.col("word_count").cast("long").alias("word_count"), "content_hash")
+
+
+def _written(spark, write):
+    """The path of a new folder that `write` has filled."""
+    path = replay.folder(spark)
+    write(path)
+    return path
+
+
+def jsonl_read(spark, sf_dir):
+    """Documents written as JSON lines and read again."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    path = _written(spark, lambda p: docs.write.json(p))
+    return corpora.read_jsonl(spark, path, docs.schema).select("doc_id", "source", F.md5("text").alias("digest"))
+
+
+def csv_labelled(spark, sf_dir):
+    """Labelled documents written as CSV and ingested again."""
+    code = F.col("quality") * 2 + F.col("toxic")
+    label = F.when(code == 0, " AI ").when(code == 1, "Machine").when(code == 2, "human").otherwise("other")
+    docs = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id").select("doc_id", "text", label.alias("label"), F.col("source").alias("model"))
+    rows = docs.orderBy("doc_id").coalesce(1).select("text", "label", "model").write.options(header=True, quoteAll=True, escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
+    path = _written(spark, lambda p: rows.csv(f"{p}/rows.csv"))
+    return corpora.ingest_labelled(spark, f"{path}/rows.csv").select("sample_id", "origin", "generator", "source_id", "content_hash")
+
+
+def whole_texts(spark, sf_dir):
+    """Items of the benchmark written as files of their own and read as whole texts."""
+    items = table(spark, sf_dir, "benchmark").select("item_id", "text")
+    path = _written(spark, lambda p: items.write.partitionBy("item_id").text(p))
+    rows = corpora.read_texts(spark, f"{path}/*")
+    return rows.select(F.regexp_extract("path", r"item_id=(\d+)/", 1).cast("long").alias("item_id"), F.md5(F.regexp_replace("text", r"\n\z", "")).alias("digest"))
+
+
+def exported(spark, sf_dir):
+    return corpora.export(table(spark, sf_dir, "documents").select("doc_id", "lang", "source", "n_chars"))
+
+
+def _samples(spark, sf_dir):
+    docs = _docs(spark, sf_dir)
+    return corpora.canonical(docs.select(F.col("doc_id").alias("sample_id"), "text", F.col("lang").alias("language"), F.upper("source").alias("domain"), F.col("source").alias("source_dataset")))
+
+
+def saved_benchmark(spark, sf_dir):
+    """Dedup, grouped split and save as one job; the splits as they are read again."""
+    path = _written(spark, lambda p: corpora.save_benchmark(_samples(spark, sf_dir), p))
+    return corpora.load_samples(spark, f"{path}/splits").select("sample_id", "split", "domain", "content_hash")
+
+
+def benchmark_manifest(spark, sf_dir):
+    """The manifest that is saved beside the splits, as it is read again."""
+    path = _written(spark, lambda p: corpora.save_benchmark(_samples(spark, sf_dir), p, "documents"))
+    row = corpora.load_manifest(spark, f"{path}/dataset_manifest.json")
+    return row.select("dataset_name", "total_samples", "train_samples", "val_samples", "test_samples", "dedup_metadata.initial_count", "dedup_metadata.exact_duplicates_removed", "dedup_metadata.final_count", F.to_json("domains").alias("domains"))
+
+
+def plain_hash(spark, sf_dir):
+    return corpora.plain_dataset_hash(_samples(spark, sf_dir))
+
+
+def request_rejects(spark, sf_dir):
+    rows = detect.rejects(_docs(spark, sf_dir), 300, 5000)
+    return rows.select("doc_id", "reason", F.col("char_count").cast("long").alias("char_count"))
+
+
+def request_batches(spark, sf_dir):
+    return detect.batch_size(_docs(spark, sf_dir).withColumn("of", F.col("doc_id") % 23), "of", 42)
+
+
+def request_texts(spark, sf_dir):
+    """The text that is judged, clean for even ids and raw for odd ones, and what is told of the raw one."""
+    rows = detect.choose(_tampered(spark, sf_dir).withColumn("sanitize_adversarial", F.col("doc_id") % 2 == 0))
+    return rows.select("doc_id", F.md5("text").alias("digest"), F.col("audit.adversarial_markers_present").alias("tampered"), *[F.col(c).cast("long").alias(c) for c in ("word_count", "char_count")])
+
+
+def sanitize_details(spark, sf_dir):
+    """The first look-alikes and invisible characters of each tampered text, with their names and places."""
+    rows = _tampered(spark, sf_dir).select("doc_id", sanitize.audit(F.col("text")).alias("a"))
+    one = rows.select("doc_id", F.explode("a.homoglyph_details").alias("d")).select("doc_id", F.col("d.position").cast("long").alias("position"), "d.char", "d.replacement", F.col("d.unicode_name").alias("name"))
+    two = rows.select("doc_id", F.explode("a.zero_width_details").alias("d")).select("doc_id", F.col("d.position").cast("long").alias("position"), "d.char", F.lit("").alias("replacement"), "d.name")
+    return one.unionByName(two)
+
+
+def sanitize_toggles(spark, sf_dir):
+    """Texts cleaned of invisible characters only, of look-alikes only, and of neither."""
+    rows = _tampered(spark, sf_dir)
+    clean = lambda zero, alike: sanitize.tidy(sanitize.normal_form(sanitize.replaced(F.col("text"), zero, alike)))
+    return rows.select("doc_id", F.md5(sanitize.tidy(sanitize.replaced(F.col("text"), True, False))).alias("invisible"), F.md5(sanitize.tidy(sanitize.replaced(F.col("text"), False, True))).alias("alike"), F.md5(clean(True, True)).alias("both"))
+
+
+def feature_family(spark, sf_dir):
+    """One family only, by its prefix."""
+    return rounded(features.assemble(_docs(spark, sf_dir), ("sem",)))
+
+
+def stream_verdicts(spark, sf_dir):
+    """Verdicts per five minutes of event time; documents arrive one a second."""
+    def count(stream):
+        scored = streams.score(stream).withColumn("ts", F.timestamp_seconds(F.col("doc_id") % 3600))
+        return streams.verdict_counts(scored).select(F.col("window.start").cast("timestamp_ntz").alias("window_start"), "classification", "n", F.round("mean_probability", 6).alias("mean_probability"))
+
+    return replay.replayed(spark, sf_dir, "documents", count, "complete")
 
 
 def _scores(spark, sf_dir):
@@ -240,7 +348,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         for f in (
             features_all_84, rule_score, confidence_bands, sentence_heatmap, feature_signals, explanations, exact_dedup, dedup_report, near_duplicate_pairs, near_dedup, lineage_roots, grouped_split,
             leakage_report, all_attacks, sanitize_audit, sanitize_clean, manifest_distributions, canonical_table, corpus_manifest, ingest_answers, label_origins, generated_corpus, metrics_all, metrics_curve,
-            metrics_calibration, detector_scores, ablation, adversarial_benchmark, stream_rule_score, stream_event_windows,
+            metrics_calibration, detector_scores, ablation, adversarial_benchmark, stream_rule_score, stream_event_windows, stream_verdicts, jsonl_read, csv_labelled, whole_texts, exported, saved_benchmark, benchmark_manifest,
+            plain_hash, request_rejects, request_batches, request_texts, sanitize_details, sanitize_toggles, feature_family,
         )
     },
 }
@@ -281,4 +390,23 @@ ORACLES: dict[str, str] = {
     "metrics_all": oracles.METRICS,
     "metrics_curve": oracles.CURVE,
     "metrics_calibration": oracles.CALIBRATION,
+    "near_dedup": oracles.NEAR_DEDUP,
+    "all_attacks": oracles.ATTACKS,
+    "corpus_manifest": oracles.MANIFEST,
+    "plain_hash": oracles.PLAIN_HASH,
+    "explanations": oracles.explanations(features.FEATURES),
+    "generated_corpus": oracles.GENERATED,
+    "jsonl_read": oracles.JSONL,
+    "csv_labelled": oracles.LABELLED,
+    "whole_texts": oracles.WHOLE,
+    "exported": oracles.EXPORTED,
+    "saved_benchmark": oracles.BENCHMARK,
+    "benchmark_manifest": oracles.BENCHMARK_MANIFEST,
+    "request_rejects": oracles.REJECTS,
+    "request_batches": oracles.BATCHES,
+    "request_texts": oracles.CHOSEN,
+    "sanitize_details": oracles.DETAILS,
+    "sanitize_toggles": oracles.TOGGLES,
+    "feature_family": oracles.features_all([c for c in features.FEATURES if c.startswith("sem")]),
+    "stream_verdicts": oracles.VERDICTS,
 }

@@ -9,6 +9,7 @@ from pyspark.sql import types as Ty
 
 from ..functions import lexicons as L
 from ..functions import text as T
+from ..functions.names import shared_folder
 
 CANONICAL = Ty.StructType(
     [
@@ -139,27 +140,37 @@ def plain_dataset_hash(rows: DataFrame, order: str = "sample_id") -> DataFrame:
 
 def distributions(rows: DataFrame, columns: tuple[str, ...] = ("origin", "domain", "generator")) -> DataFrame:
     """(dimension, value, n): counts by each column in one pass of grouping sets."""
-    sets = ", ".join(f"({c})" for c in columns)
-    out = rows.select(*columns).createOrReplaceTempView("_rows")
-    del out
-    name = " ".join(f"WHEN grouping({c}) = 0 THEN '{c}'" for c in columns)
-    return rows.sparkSession.sql(f"SELECT CASE {name} END AS dimension, coalesce({', '.join(columns)}) AS value, count(*) AS n FROM _rows GROUP BY GROUPING SETS ({sets})").filter("value is not null")
+    counts = rows.groupingSets([[F.col(c)] for c in columns], *[F.col(c) for c in columns]).agg(F.count("*").alias("n"), *[F.grouping(c).alias(f"g{k}") for k, c in enumerate(columns)])
+    name = F.lit(None).cast("string")
+    for k, c in enumerate(columns):
+        name = F.when(F.col(f"g{k}") == 0, c).otherwise(name)
+    return counts.select(name.alias("dimension"), F.coalesce(*[F.col(c) for c in columns]).alias("value"), "n").filter("value is not null")
 
 
-def manifest(rows: DataFrame, name: str, version: str = "1.0", description: str = "") -> DataFrame:
-    """One row: name, version, total, the three distributions as maps, and the dataset's hash."""
-    counts = distributions(rows)
-    maps = [F.map_from_entries(F.coalesce(F.collect_list(F.when(F.col("dimension") == c, F.struct("value", "n"))), F.array().cast("array<struct<value:string,n:bigint>>"))).alias(f"{c}_distribution") for c in ("origin", "domain", "generator")]
+#: Columns whose values a manifest counts, and what it calls the counts.
+COUNTED = {"origin": "origin_distribution", "domain": "domain_distribution", "generator": "generator_distribution", "humanizer": "humanizer_distribution", "split": "split_sizes"}
+
+
+def manifest(rows: DataFrame, name: str, version: str = "1.0", description: str = "", notes: str = "", plain_hash: bool = False) -> DataFrame:
+    """One row about canonical rows: name, version, description, time, total, counts as maps, the dataset's hash, its sources and notes.
+
+    The hash is a tree of hashes by sample_id, for tables of any size; with plain_hash, that of all content hashes joined in order
+    of sample_id, for tables that one task can hold.
+    """
+    maps = [F.map_from_entries(F.coalesce(F.array_sort(F.collect_list(F.when(F.col("dimension") == c, F.struct("value", "n")))), F.array().cast("array<struct<value:string,n:bigint>>"))).alias(shown) for c, shown in COUNTED.items()]
+    sources = F.array_sort(F.collect_list(F.when((F.col("dimension") == "source_dataset") & (F.col("value") != ""), F.col("value")))).alias("source_datasets")
+    counts = distributions(rows, (*COUNTED, "source_dataset")).agg(*maps, sources)
     total = rows.agg(F.count("*").alias("total_samples"))
-    parts = counts.agg(*maps).crossJoin(total).crossJoin(dataset_hash(rows))  # one row each
-    return parts.select(F.lit(name).alias("name"), F.lit(version).alias("version"), F.lit(description).alias("description"), F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss").alias("created_at"), "*")
+    parts = counts.crossJoin(total).crossJoin((plain_dataset_hash if plain_hash else dataset_hash)(rows))  # one row each
+    said = [F.lit(x).alias(c) for c, x in (("name", name), ("version", version), ("description", description or f"Processed {name} dataset"))]
+    return parts.select(*said, F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss").alias("created_at"), "total_samples", *COUNTED.values(), "content_hash", "source_datasets", F.lit(notes).alias("notes"))
 
 
-def save(rows: DataFrame, folder: str, name: str, version: str = "1.0") -> str:
+def save(rows: DataFrame, folder: str, name: str, version: str = "1.0", **about) -> str:
     """Writes folder/name/version/samples.jsonl and manifest.json (folders of JSON lines); returns their folder."""
     path = f"{folder}/{name}/{version}"
     rows.write.mode("overwrite").json(f"{path}/samples.jsonl")
-    manifest(rows, name, version).coalesce(1).write.mode("overwrite").json(f"{path}/manifest.json")
+    manifest(rows, name, version, **about).coalesce(1).write.mode("overwrite").json(f"{path}/manifest.json")
     return path
 
 
@@ -167,33 +178,93 @@ def load_samples(spark: SparkSession, path: str) -> DataFrame:
     return read_jsonl(spark, path, CANONICAL)
 
 
-def save_splits(rows: DataFrame, folder: str) -> None:
-    """JSON lines partitioned by split, and counts by split, origin and domain."""
+def load_manifest(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.json(path)
+
+
+def save_splits(rows: DataFrame, folder: str, name: str = "benchmark", dedup: DataFrame | None = None) -> None:
+    """JSON lines partitioned by split, and dataset_manifest.json: name, totals in all and by split, dedup counts, origins and domains.
+
+    dedup: one row (initial_count, exact_duplicates_removed, final_count), as dedup_report() gives it.
+    """
     rows.write.mode("overwrite").partitionBy("split").json(f"{folder}/splits")
-    distributions(rows, ("split", "origin", "domain")).coalesce(1).write.mode("overwrite").json(f"{folder}/dataset_manifest.json")
+    split_manifest(rows, name, dedup).coalesce(1).write.mode("overwrite").json(f"{folder}/dataset_manifest.json")
+
+
+def split_manifest(rows: DataFrame, name: str = "benchmark", dedup: DataFrame | None = None) -> DataFrame:
+    """The row that save_splits() writes."""
+    parts = [F.count_if(F.col("split") == x).alias(f"{x}_samples") for x in ("train", "val", "test")]
+    total = rows.agg(F.count("*").alias("total_samples"), *parts)
+    maps = [F.map_from_entries(F.coalesce(F.array_sort(F.collect_list(F.when(F.col("dimension") == c, F.struct("value", "n")))), F.array().cast("array<struct<value:string,n:bigint>>"))).alias(f"{c}s") for c in ("origin", "domain")]
+    out = total.crossJoin(distributions(rows, ("origin", "domain")).agg(*maps))  # one row each
+    if dedup is not None:
+        out = out.crossJoin(dedup.select(F.struct("initial_count", "exact_duplicates_removed", "final_count").alias("dedup_metadata")))
+    else:
+        out = out.withColumn("dedup_metadata", F.lit(None).cast("struct<initial_count:bigint,exact_duplicates_removed:bigint,final_count:bigint>"))
+    return out.select(F.lit(name).alias("dataset_name"), "total_samples", "train_samples", "val_samples", "test_samples", "dedup_metadata", "origins", "domains")
+
 
+def build_benchmark(rows: DataFrame, train: float = 0.7, val: float = 0.15, seed: int = 42) -> tuple[DataFrame, DataFrame]:
+    """Canonical rows as a benchmark: the first row of each normalised text, with a split that keeps lineages together; and dedup counts."""
+    from ..operators import curation
 
-def generated_corpus(spark: SparkSession, bank: dict[str, list[str]], per_domain: int, origin: str, seed: int = 42, generator: str | None = None) -> DataFrame:
-    """Canonical rows made of 3 or 4 sentences drawn from a domain's bank, by hash instead of a shared random state."""
-    banks = spark.createDataFrame([(d, s) for d, s in sorted(bank.items())], "domain string, bank array<string>")
-    rows = banks.crossJoin(F.broadcast(spark.range(per_domain).withColumnRenamed("id", "k"))) if per_domain < 10_000 else banks.join(spark.range(per_domain).withColumnRenamed("id", "k"))
-    u = lambda *x: F.xxhash64(F.lit(seed), F.lit(origin), "domain", "k", *x)
-    order = F.array_sort(F.transform("bank", lambda s, i: F.struct(u(i).alias("u"), s.alias("s"))))
-    text = F.array_join(F.transform(F.slice(order, F.lit(1), (3 + F.pmod(u(), F.lit(2))).cast("int")), lambda x: x["s"]), " ")
+    shared_folder(rows.sparkSession)
+    unique = curation.exact_dedup(rows, "sample_id").checkpoint()
+    groups = curation.lineage_roots(unique.select(F.col("sample_id").alias("id"), "parent_id"))
+    splits = curation.grouped_split(groups, train, val, seed).select(F.col("id").alias("sample_id"), F.col("split").alias("part"))
+    out = unique.join(splits, "sample_id").withColumn("split", F.col("part")).select(*rows.columns)
+    return out, curation.dedup_report(rows)
+
+
+def save_benchmark(rows: DataFrame, folder: str, name: str = "benchmark", **shares) -> str:
+    """Dedup, grouped split and save of canonical rows in one job; returns the folder."""
+    shared_folder(rows.sparkSession)
+    built, dedup = build_benchmark(rows, **shares)
+    save_splits(built.checkpoint(), folder, name, dedup)
+    return folder
+
+
+def save_results(results: DataFrame, path: str) -> None:
+    """Metric rows (as evaluate(), ablation() and adversarial_benchmark() give them) as a folder of JSON lines."""
+    results.coalesce(1).write.mode("overwrite").json(path)
+
+
+def read_results(spark: SparkSession, path: str) -> DataFrame:
+    """Metrics that were saved: JSON lines, or one JSON document over several lines. A folder that isn't there gives one row (message)."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place):
+        return spark.createDataFrame([("Benchmark results not yet generated.",)], "message string")
+    first = spark.read.text(path).filter("trim(value) <> ''").first()
+    whole = first is None or not (first.value.strip().startswith("{") and first.value.strip().endswith("}"))
+    return spark.read.option("multiLine", whole).json(path)
+
+
+def generated_corpus(spark: SparkSession, bank: dict[str, list[str]] | DataFrame, per_domain: int, origin: str, seed: int = 42, generator: str | None = None) -> DataFrame:
+    """Canonical rows made of 3 or 4 sentences drawn from a domain's bank, by hash instead of a shared random state.
+
+    bank: sentences by domain, or a table (domain, bank) with one array a domain.
+    """
+    banks = bank if isinstance(bank, DataFrame) else spark.createDataFrame([(d, s) for d, s in sorted(bank.items())], "domain string, bank array<string>")
+    rows = banks.select("domain", "bank", F.explode(F.sequence(F.lit(0), F.lit(per_domain - 1))).alias("k"))
+    u = lambda x: F.md5(F.concat_ws(":", F.lit(str(seed)), F.lit(origin), "domain", F.col("k").cast("string"), x))  # noqa: E731  also other engines' draw
+    order = F.array_sort(F.transform("bank", lambda s, i: F.struct(u(i.cast("string")).alias("u"), s.alias("s"))))
+    odd = F.conv(F.substring(u(F.lit("n")), 1, 1), 16, 10).cast("int") % 2
+    text = F.array_join(F.transform(F.slice(order, F.lit(1), 3 + odd), lambda x: x["s"]), " ")
     rows = rows.select(F.concat_ws("_", F.lower(F.lit(origin)), F.lower("domain"), "k").alias("sample_id"), text.alias("text"), F.lit(origin).alias("origin"), "domain", F.lit("generated").alias("source_dataset"), F.lit(generator).cast("string").alias("generator"))
     return canonical(rows)
 
 
 def humanized_children(rows: DataFrame, seed: int = 42) -> DataFrame:
-    """AI_HUMANIZED children of rows: technique, humanizer and severity by turns of four, with parent_id."""
+    """AI_HUMANIZED children of rows: technique, humanizer and severity one of four, drawn by hash of sample_id, with parent_id."""
     from ..operators import perturb
 
-    rows = _ordinal(rows)
-    turn, key, text = F.pmod("_row", F.lit(4)), F.col("sample_id"), F.col("text")
+    key, text = F.col("sample_id"), F.col("text")
+    turn = F.conv(F.substring(F.md5(F.concat_ws(":", key, F.lit("turn"), F.lit(str(seed)))), 1, 1), 16, 10).cast("int") % 4
     variants = [(perturb.humanizer(text, key, "medium", seed), "humanizer_medium", "MEDIUM"), (perturb.humanizer(text, key, "high", seed), "humanizer_high", "HEAVY"), (perturb.synonym(text, key, 0.3, seed), "synonym", "LIGHT"), (perturb.jitter(text, key, seed), "jitter", "LIGHT")]
     pick = lambda k: F.when(turn == 0, variants[0][k] if k == 0 else F.lit(variants[0][k])).when(turn == 1, variants[1][k] if k == 0 else F.lit(variants[1][k])).when(turn == 2, variants[2][k] if k == 0 else F.lit(variants[2][k])).otherwise(variants[3][k] if k == 0 else F.lit(variants[3][k]))
-    rows = rows.select(F.concat(F.lit("humanized_"), key).alias("sample_id"), pick(0).alias("text"), F.lit("AI_HUMANIZED").alias("origin"), "domain", "source_dataset", "generator", pick(1).alias("humanizer"), pick(2).alias("transformation_severity"), key.alias("parent_id"))
-    return canonical(rows)
+    # The text is made before sample_id is named anew: lambdas would take an alias of that name in the same select for the key.
+    rows = rows.select(key.alias("parent_id"), pick(0).alias("text"), "domain", "source_dataset", "generator", pick(1).alias("humanizer"), pick(2).alias("transformation_severity"))
+    return canonical(rows.withColumn("sample_id", F.concat(F.lit("humanized_"), F.col("parent_id"))).withColumn("origin", F.lit("AI_HUMANIZED")))
 
 
 def export(rows: DataFrame) -> DataFrame:

@@ -2,19 +2,17 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..functions.names import shared_folder
+
 
 def folder(spark: SparkSession) -> str:
-    """A new folder where all executors can write: under the checkpoint folder, a temporary one only where that is unset."""
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="textloom-"))
-    return f"{context.getCheckpointDir().rstrip('/')}/stream-{uuid.uuid4().hex}"
+    """A new folder where all executors can write."""
+    return f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
 
 
 def stream_of(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.names import fresh
 from ..operators import curation, explain, sanitize
 
 
@@ -20,8 +21,9 @@ def clean(stream: DataFrame) -> DataFrame:
 
 def deduplicate(stream: DataFrame, time: str = "ts", delay: str = "10 minutes") -> DataFrame:
     """First arrivals of each normalised text within the watermark; state is dropped as the watermark passes."""
-    hashed = stream.withColumn("_h", curation.dedup_hash(F.coalesce(F.col("text"), F.lit(""))))
-    return hashed.withWatermark(time, delay).dropDuplicatesWithinWatermark(["_h"]).drop("_h")
+    (h,) = fresh(stream, "h")
+    hashed = stream.withColumn(h, curation.dedup_hash(F.coalesce(F.col("text"), F.lit(""))))
+    return hashed.withWatermark(time, delay).dropDuplicatesWithinWatermark([h]).drop(h)
 
 
 def verdict_counts(stream: DataFrame, time: str = "ts", size: str = "5 minutes", delay: str = "10 minutes") -> DataFrame:
