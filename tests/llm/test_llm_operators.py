@@ -42,6 +42,24 @@ def test_removed_words(spark, window, rounds):
     assert sorted((r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in got) == brute.remove_repeats(rows, window)
 
 
+@pytest.mark.parametrize("block", [1, 300])
+def test_removed_words_do_not_depend_on_blocks(spark, monkeypatch, block):
+    """Blocks are of a task's own; workers are forked with the module as it is here, or read the size from the closure."""
+    rows = patchwork(17, 80) + [(300 + i, "same " * 90 + str(i % 3)) for i in range(9)]
+    docs = [(d, t) for d, t in rows]
+    import pandas as pd
+    import pyarrow as pa
+
+    monkeypatch.setattr(recompression, "BLOCK_ENTRIES", block)
+    batch = pa.RecordBatch.from_pandas(pd.DataFrame({"doc_id": [d for d, _ in docs], "text": [t for _, t in docs], "tag": 0}))
+    whole = list(recompression._first_pass(12, 4)(iter([batch.slice(0, 40), batch.slice(40)])))
+    assert len(whole) >= (4 if block == 1 else 2)
+    keys = [k for b in whole for k, p in zip(b.column("key").to_pylist(), b.column("place").to_pylist()) if p is not None]
+    assert block == 1 or len(keys) == len(set(keys)) or len(whole) > 2
+    got = recompression.remove_repeats(table(spark, rows), 12, 4).collect()
+    assert sorted((r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in got) == brute.remove_repeats(rows, 12)
+
+
 def test_removed_words_of_rows_that_share_an_id_or_have_none(spark):
     a, b = " ".join(f"w{i}" for i in range(30)), " ".join(f"v{i}" for i in range(30))
     rows = [(5, a), (5, a), (5, b), (7, a + " x"), (7, "x " + b), (None, "q " + b), (None, None)]

@@ -5,9 +5,13 @@ Every text is rewritten in rounds. A round first replaces each maximal run of on
 symbol named after the pair. Names are 64-bit hashes of what they stand for, hence global without a shuffle: equal
 content gets equal names in every task. Next to each symbol stands its *reach*, the words that decided it. Two equal
 runs of words hold the same symbols wherever a symbol's reach lies inside the run, so a window can only repeat if each
-symbol reaching no further than the window is shared. Windows that pass are verified by 79 bits
+symbol reaching no further than the window is shared. Windows that pass are verified by 128 bits
 of hash of all their words.
 
+A task combines what it finds in blocks of BLOCK_ENTRIES: of a mark or window only one row a block goes to the exchange, that of
+its least document, however often the block repeats it, so that the rows of the most frequent one number a millionth of all
+entries.
+
 Nulls and texts without words have nothing to remove. Rows with a null doc_id come before all others, in an order of
 their texts' hashes, and show null again. Repeated rows get the same result each; a row never loses a window to another row
 of its own doc_id.
@@ -29,6 +33,8 @@ _U = np.uint64
 ROUNDS, WINDOW = 7, 50
 #: Rows that share a doc_id are told apart by their texts' hash modulo this, carried in the low bits of places.
 TAGS = 1 << 16
+#: Marks or windows that a task combines at a time, about 100 MB of arrays.
+BLOCK_ENTRIES = 1 << 20
 
 
 def parse(words: np.ndarray, offsets: np.ndarray, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -115,26 +121,48 @@ def _lists(rows: np.ndarray, values: np.ndarray, n: int) -> tuple[np.ndarray, pa
     return have, pa.ListArray.from_arrays(pa.array(ends), pa.array(values[order]))
 
 
-def _first_of(keys: tuple[np.ndarray, ...], ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The least and the greatest id among the entries with the same keys, for each entry."""
-    order = np.lexsort((ids, *keys))
-    new = np.ones(len(order), bool)
-    new[1:] = np.any([k[order][1:] != k[order][:-1] for k in keys], axis=0)
-    group = np.cumsum(new) - 1
-    heads = np.flatnonzero(new)
-    tails = np.append(heads[1:], len(order)) - 1
-    least, greatest = np.empty_like(ids), np.empty_like(ids)
-    least[order], greatest[order] = ids[order][heads][group], ids[order][tails][group]
-    return least, greatest
+class _Groups:
+    """Entries grouped by equal keys; within a group by id, so that those of the least id come first."""
+
+    def __init__(self, keys: tuple[np.ndarray, ...], ids: np.ndarray):
+        self.order = np.lexsort((ids, *keys))
+        new = np.ones(len(self.order), bool)
+        new[1:] = np.any([k[self.order][1:] != k[self.order][:-1] for k in keys], axis=0)
+        self.heads = np.flatnonzero(new)
+        self.group = np.cumsum(new) - 1
+        tails = np.append(self.heads[1:], len(self.order)) - 1
+        own = ids[self.order]
+        self.first = self.order[self.heads]
+        self.sent, self.shared = np.empty(len(ids), bool), np.empty(len(ids), bool)
+        self.sent[self.order] = own == own[self.heads][self.group]
+        self.shared[self.order] = (own[self.heads] < own[tails])[self.group]
+
+    def others(self, values: np.ndarray, width: int = 1) -> pa.Array:
+        """By group: the values (rows of `width`) of entries of the least id besides the first one; null where there are none."""
+        more = self.sent[self.order]
+        more[self.heads] = False
+        counts = np.bincount(self.group[more], minlength=len(self.heads)) * width
+        ends = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
+        return pa.ListArray.from_arrays(pa.array(ends), pa.array(values[self.order[more]].ravel()), mask=pa.array(counts == 0))
 
 
 def _first_pass(window: int, rounds: int):
-    """Marks (key, doc_id, place), and per row the places already known to be shared within the slice.
+    """Marks (key, doc_id, place), and per row the places already known to be shared within the block.
 
-    Of a mark that a slice shares only the entries of its least doc are sent on, so that no mark fills a task.
+    Of a mark one row a block is sent, for its least doc; `places` has the others of this doc there. In rows without a place,
+    `places` are known to be shared.
     """
 
+    def flush(held):
+        names, rows, place, ids = (np.concatenate(x) for x in zip(*held, strict=True))
+        found = _Groups((names,), ids[rows])
+        at = found.first
+        yield pa.RecordBatch.from_arrays([pa.array(names[at].view(np.int64)), pa.array(ids[rows][at]), pa.array(place[at]), found.others(place)], ["key", "doc_id", "place", "places"])
+        have, lists = _lists(rows[found.shared], place[found.shared], len(ids))
+        yield pa.RecordBatch.from_arrays([pa.array(splitmix(ids[have].view(_U)).view(np.int64)), pa.array(ids[have]), pa.nulls(len(have), pa.int64()), lists], ["key", "doc_id", "place", "places"])
+
     def run(batches):
+        held, n, base = [], 0, 0
         for batch in batches:
             for part in slices(batch):
                 words, offsets = word_table(part)
@@ -146,23 +174,40 @@ def _first_pass(window: int, rounds: int):
                     continue
                 names = np.concatenate([name, run_hashes(words, offsets[bare_row] + start, window)])
                 place = np.concatenate([low - offsets[row], -1 - start]) * TAGS + tags[rows]
-                own = ids[rows]
-                least, greatest = _first_of((names,), own)
-                sent, known = own == least, least < greatest
-                yield pa.RecordBatch.from_arrays([pa.array(names[sent].view(np.int64)), pa.array(own[sent]), pa.array(place[sent]), pa.nulls(int(sent.sum()), pa.list_(pa.int64()))], ["key", "doc_id", "place", "places"])
-                have, lists = _lists(rows[known], place[known], len(ids))
-                yield pa.RecordBatch.from_arrays([pa.array(splitmix(ids[have].view(_U)).view(np.int64)), pa.array(ids[have]), pa.nulls(len(have), pa.int64()), lists], ["key", "doc_id", "place", "places"])
+                held.append((names, rows + base, place, ids))
+                n, base = n + len(names), base + len(ids)
+                if n >= BLOCK_ENTRIES:
+                    yield from flush(held)
+                    held, n, base = [], 0, 0
+        if held:
+            yield from flush(held)
 
     return run
 
 
 def _second_pass(window: int, rounds: int):
-    """Windows (key, check, doc_id, start) that may repeat, and per row the stretches known to repeat a doc of the slice.
+    """Windows (key, check, doc_id, start) that may repeat, and per row the stretches known to repeat a doc of the block.
 
-    A stretch is a pair of window starts, the second one exclusive.
+    A stretch is a pair of window starts, the second one exclusive. Of a window one row a block is sent, for its least doc;
+    `stretches` has its others in this doc there. In rows without a start, `stretches` are known to repeat.
     """
+    names = ["key", "check", "doc_id", "start", "stretches"]
+
+    def flush(held):
+        first, second, rows, start, low_start, ids = (np.concatenate(x) for x in zip(*held, strict=True))
+        found = _Groups((first, second), ids[rows])
+        at, pairs = found.first, np.stack([low_start, low_start + TAGS], 1)
+        yield pa.RecordBatch.from_arrays([pa.array(first[at].view(np.int64)), pa.array(second[at].view(np.int64)), pa.array(ids[rows][at]), pa.array(low_start[at]), found.others(pairs, 2)], names)
+        known = np.flatnonzero(~found.sent)
+        if len(known):
+            gap = (np.diff(known) > 1) | (rows[known][1:] != rows[known][:-1]) | (np.diff(start[known]) > 1)
+            heads, tails = known[np.concatenate([[True], gap])], known[np.concatenate([gap, [True]])]
+            pairs = np.stack([low_start[heads], low_start[tails] + TAGS], 1).ravel()
+            have, lists = _lists(np.repeat(rows[heads], 2), pairs, len(ids))
+            yield pa.RecordBatch.from_arrays([pa.array(splitmix(ids[have].view(_U)).view(np.int64)), pa.nulls(len(have), pa.int64()), pa.array(ids[have]), pa.nulls(len(have), pa.int64()), lists], names)
 
     def run(batches):
+        held, n, base = [], 0, 0
         for batch in batches:
             for part in slices(batch):
                 words, offsets = word_table(part)
@@ -184,17 +229,14 @@ def _second_pass(window: int, rounds: int):
                 r = np.searchsorted(into, at, "right") - 1
                 start = at - into[r]
                 first = run_hashes(words, offsets[r] + start, window)
-                second = run_hashes(splitmix(words ^ _U(0x1234567)), offsets[r] + start, window) & _U(0x7FFF)
-                sent = _first_of((first, second), ids[r])[0] == ids[r]
-                low_start = start * TAGS + tags[r]
-                yield pa.RecordBatch.from_arrays([pa.array(first[sent].view(np.int64)), pa.array(second[sent].astype(np.int16)), pa.array(ids[r][sent]), pa.array(low_start[sent]), pa.nulls(int(sent.sum()), pa.list_(pa.int64()))], ["key", "check", "doc_id", "start", "stretches"])
-                known = np.flatnonzero(~sent)
-                if len(known):
-                    gap = (np.diff(known) > 1) | (r[known][1:] != r[known][:-1]) | (np.diff(start[known]) > 1)
-                    heads, tails = known[np.concatenate([[True], gap])], known[np.concatenate([gap, [True]])]
-                    pairs = np.stack([low_start[heads], low_start[tails] + TAGS], 1).ravel()
-                    have, lists = _lists(np.repeat(r[heads], 2), pairs, len(ids))
-                    yield pa.RecordBatch.from_arrays([pa.array(splitmix(ids[have].view(_U)).view(np.int64)), pa.nulls(len(have), pa.int16()), pa.array(ids[have]), pa.nulls(len(have), pa.int64()), lists], ["key", "check", "doc_id", "start", "stretches"])
+                second = run_hashes(splitmix(words ^ _U(0x1234567)), offsets[r] + start, window)
+                held.append((first, second, r + base, start, start * TAGS + tags[r], ids))
+                n, base = n + len(at), base + len(ids)
+                if n >= BLOCK_ENTRIES:
+                    yield from flush(held)
+                    held, n, base = [], 0, 0
+        if held:
+            yield from flush(held)
 
     return run
 
@@ -243,16 +285,16 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, rounds: int = ROUNDS)
     # Where no doc_id repeats, as a shuffle of ids alone tells, tags are 0 and cost no space in the shuffles below.
     repeated = not docs.groupBy("doc_id").count().filter("count > 1").isEmpty()
     docs = docs.withColumn("tag", F.coalesce(F.pmod(F.xxhash64("text"), F.lit(TAGS)), F.lit(0)) if repeated else F.lit(0).cast("long"))
-    # Windows over a key hold an entry per slice of text at most for each of its least docs: what slices share is known there.
+    # Windows over a key hold a row per block of text at most: what a block shares is known there.
     by_key = W.partitionBy("key")
     marks = docs.mapInArrow(_first_pass(window, rounds), "key long, doc_id long, place long, places array<long>")
-    sent = F.when(F.col("places").isNull(), F.col("doc_id"))
-    marks = marks.withColumn("low", F.min(sent).over(by_key)).withColumn("high", F.max(sent).over(by_key)).filter("places is not null or low < high")
+    sent = F.when(F.col("place").isNotNull(), F.col("doc_id"))
+    marks = marks.withColumn("low", F.min(sent).over(by_key)).withColumn("high", F.max(sent).over(by_key)).filter("place is null or low < high")
     places = marks.groupBy("doc_id").agg(F.collect_list("place").alias("one"), F.flatten(F.collect_list("places")).alias("many"))
     places = places.select("doc_id", F.concat("one", "many").alias("places"))
-    windows = docs.join(places, "doc_id").mapInArrow(_second_pass(window, rounds), "key long, check short, doc_id long, start long, stretches array<long>")
-    sent = F.when(F.col("stretches").isNull(), F.col("doc_id"))
-    taken = windows.withColumn("low", F.min(sent).over(W.partitionBy("key", "check"))).filter("stretches is not null or low < doc_id")
+    windows = docs.join(places, "doc_id").mapInArrow(_second_pass(window, rounds), "key long, check long, doc_id long, start long, stretches array<long>")
+    sent = F.when(F.col("start").isNotNull(), F.col("doc_id"))
+    taken = windows.withColumn("low", F.min(sent).over(W.partitionBy("key", "check"))).filter("start is null or low < doc_id")
     taken = taken.groupBy("doc_id").agg(F.collect_list("start").alias("starts"), F.flatten(F.collect_list("stretches")).alias("stretches"))
     # Both joins read one exchange of the texts, whose plans are alike.
     out = docs.join(taken, "doc_id", "left").select("doc_id", "text", "tag", "starts", "stretches").mapInArrow(_last_pass(window), "doc_id long, n_words long, n_removed long, kept_sha256 string, kept_text string")
