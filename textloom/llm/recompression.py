@@ -5,7 +5,7 @@ Every text is rewritten in rounds. A round first replaces each maximal run of on
 symbol named after the pair. Names are 64-bit hashes of what they stand for, hence global without a shuffle: equal
 content gets equal names in every task. Next to each symbol stands its *reach*, the words that decided it. Two equal
 runs of words hold the same symbols wherever a symbol's reach lies inside the run, so a window can only repeat if each
-symbol reaching no further than the window is shared. Windows that pass are verified by 128 bits
+symbol reaching no further than the window is shared. Windows that pass are verified by 96 bits
 of hash of all their words.
 
 A task combines what it finds in blocks of BLOCK_ENTRIES: of a mark or window only one row a block goes to the exchange, that of
@@ -197,14 +197,14 @@ def _second_pass(window: int, rounds: int):
         first, second, rows, start, low_start, ids = (np.concatenate(x) for x in zip(*held, strict=True))
         found = _Groups((first, second), ids[rows])
         at, pairs = found.first, np.stack([low_start, low_start + TAGS], 1)
-        yield pa.RecordBatch.from_arrays([pa.array(first[at].view(np.int64)), pa.array(second[at].view(np.int64)), pa.array(ids[rows][at]), pa.array(low_start[at]), found.others(pairs, 2)], names)
+        yield pa.RecordBatch.from_arrays([pa.array(first[at].view(np.int64)), pa.array(second[at]), pa.array(ids[rows][at]), pa.array(low_start[at]), found.others(pairs, 2)], names)
         known = np.flatnonzero(~found.sent)
         if len(known):
             gap = (np.diff(known) > 1) | (rows[known][1:] != rows[known][:-1]) | (np.diff(start[known]) > 1)
             heads, tails = known[np.concatenate([[True], gap])], known[np.concatenate([gap, [True]])]
             pairs = np.stack([low_start[heads], low_start[tails] + TAGS], 1).ravel()
             have, lists = _lists(np.repeat(rows[heads], 2), pairs, len(ids))
-            yield pa.RecordBatch.from_arrays([pa.array(splitmix(ids[have].view(_U)).view(np.int64)), pa.nulls(len(have), pa.int64()), pa.array(ids[have]), pa.nulls(len(have), pa.int64()), lists], names)
+            yield pa.RecordBatch.from_arrays([pa.array(splitmix(ids[have].view(_U)).view(np.int64)), pa.nulls(len(have), pa.int32()), pa.array(ids[have]), pa.nulls(len(have), pa.int64()), lists], names)
 
     def run(batches):
         held, n, base = [], 0, 0
@@ -229,7 +229,7 @@ def _second_pass(window: int, rounds: int):
                 r = np.searchsorted(into, at, "right") - 1
                 start = at - into[r]
                 first = run_hashes(words, offsets[r] + start, window)
-                second = run_hashes(splitmix(words ^ _U(0x1234567)), offsets[r] + start, window)
+                second = (run_hashes(splitmix(words ^ _U(0x1234567)), offsets[r] + start, window) >> _U(32)).astype(np.uint32).view(np.int32)
                 held.append((first, second, r + base, start, start * TAGS + tags[r], ids))
                 n, base = n + len(at), base + len(ids)
                 if n >= BLOCK_ENTRIES:
@@ -292,7 +292,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, rounds: int = ROUNDS)
     marks = marks.withColumn("low", F.min(sent).over(by_key)).withColumn("high", F.max(sent).over(by_key)).filter("place is null or low < high")
     places = marks.groupBy("doc_id").agg(F.collect_list("place").alias("one"), F.flatten(F.collect_list("places")).alias("many"))
     places = places.select("doc_id", F.concat("one", "many").alias("places"))
-    windows = docs.join(places, "doc_id").mapInArrow(_second_pass(window, rounds), "key long, check long, doc_id long, start long, stretches array<long>")
+    windows = docs.join(places, "doc_id").mapInArrow(_second_pass(window, rounds), "key long, check int, doc_id long, start long, stretches array<long>")
     sent = F.when(F.col("start").isNotNull(), F.col("doc_id"))
     taken = windows.withColumn("low", F.min(sent).over(W.partitionBy("key", "check"))).filter("start is null or low < doc_id")
     taken = taken.groupBy("doc_id").agg(F.collect_list("start").alias("starts"), F.flatten(F.collect_list("stretches")).alias("stretches"))
