@@ -2,6 +2,7 @@ import random
 
 import pytest
 from plain import features as plain
+from pyspark.sql import functions as F
 
 from textloom.operators import features as X
 
@@ -47,7 +48,12 @@ def test_families_and_vectors(spark):
     assert all(len(r.features) == 84 for r in X.vector(X.assemble(docs)).collect())
 
 
-def test_text_is_shuffled_once(spark):
-    docs = spark.createDataFrame([(1, HUMAN)], "doc_id long, text string")
+def test_features_cost_no_exchange_and_cut_a_text_once(spark):
+    docs = spark.range(0, 64, 1, 64).select(F.col("id").alias("doc_id"), F.lit(HUMAN).alias("text"))
     plan = X.assemble(docs)._jdf.queryExecution().executedPlan().toString()
-    assert "Cartesian" not in plan and "Python" not in plan
+    assert "Exchange" not in plan and "Cartesian" not in plan and "Python" not in plan and "Join" not in plan
+    few = spark.range(0, 3, 1, 1).select(F.col("id").alias("doc_id"), F.lit(HUMAN).alias("text"))
+    assert X.assemble(few)._jdf.queryExecution().executedPlan().toString().count("Exchange ") == 1
+    stored = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    whole = X.assemble(stored)._jdf.queryExecution().optimizedPlan().toString()
+    assert whole.count("AS _tok#") == 1 and whole.count("AS _sent#") == 1
