@@ -363,7 +363,7 @@ PLAIN_HASH = "SELECT sha256(string_agg(sha256(text), '' ORDER BY doc_id::VARCHAR
 
 def explanations(names: list[str]) -> str:
     real = ("prd_burstiness", "prd_unigram_entropy", "str_transition_density", "sty_ttr", "sem_semantic_monotony_index", "sty_std_sentence_length")
-    signals = " UNION ALL ".join(f"SELECT doc_id, 'signal' AS kind, '{c}' AS name, '{'high' if c in ('str_transition_density', 'sem_semantic_monotony_index') else 'low'}' AS of, round({c}, 4)::DOUBLE AS value FROM f" for c in real)
+    signals = " UNION ALL ".join(f"SELECT doc_id, 'signal' AS kind, '{c}' AS name, '{'high' if c in ('str_transition_density', 'sem_semantic_monotony_index') else 'low'}' AS of, round({c} + sign({c}) * 1e-9, 4)::DOUBLE AS value FROM f" for c in real)  # halves go up, as six-digit values have them
     tests = (
         ("zero_width_count > 0", "a", "Invisible Zero-Width Character Injection Detected", "SECURITY CRITICAL"), ("homoglyph_count > 0", "a", "Homoglyph / Confusable Characters Detected", "SECURITY WARNING"),
         ("sty_std_sentence_length < 3.5", "f", "Low Sentence Rhythm Variation", "STYLE MODERATE"), ("str_transition_density > 0.06", "f", "High Discourse Transition Density", "DISCOURSE MODERATE"), ("prd_burstiness < 0.2", "f", "Low Token Burstiness", "PREDICTABILITY HIGH"),
