@@ -256,9 +256,11 @@ def request_texts(spark, sf_dir):
 def sanitize_details(spark, sf_dir):
     """The first look-alikes and invisible characters of each tampered text, with their names and places."""
     rows = _tampered(spark, sf_dir).select("doc_id", sanitize.audit(F.col("text")).alias("a"))
-    one = rows.select("doc_id", F.explode("a.homoglyph_details").alias("d")).select("doc_id", F.col("d.position").cast("long").alias("position"), "d.char", "d.replacement", F.col("d.unicode_name").alias("name"))
-    two = rows.select("doc_id", F.explode("a.zero_width_details").alias("d")).select("doc_id", F.col("d.position").cast("long").alias("position"), "d.char", F.lit("").alias("replacement"), "d.name")
-    return one.unionByName(two)
+    entry = lambda x, new, name: F.struct(x["position"].cast("long").alias("position"), x["char"].alias("char"), new.alias("replacement"), x[name].alias("name"))
+    alike = F.transform("a.homoglyph_details", lambda x: entry(x, x["replacement"], "unicode_name"))
+    zero = F.transform("a.zero_width_details", lambda x: entry(x, F.lit(""), "name"))
+    # explode() alone infers a filter that audits every text again
+    return rows.select("doc_id", F.explode_outer(F.concat(alike, zero)).alias("d")).filter("d is not null").select("doc_id", "d.*")
 
 
 def sanitize_toggles(spark, sf_dir):
