@@ -77,8 +77,12 @@ def read_texts(spark: SparkSession, path: str) -> DataFrame:
 
 
 def _ordinal(rows: DataFrame) -> DataFrame:
-    """rows with `_row`, their place in the file from 0: offsets of partitions, not one sort of all rows."""
-    rows = rows.withColumn("_p", F.spark_partition_id()).withColumn("_k", F.monotonically_increasing_id())
+    """rows with `_row`, their place in the file from 0: offsets of partitions, not one sort of all rows.
+
+    The numbered rows are stored, as adaptive plans would cut them into other partitions for their sizes than for the join.
+    """
+    shared_folder(rows.sparkSession)
+    rows = rows.withColumn("_p", F.spark_partition_id()).withColumn("_k", F.monotonically_increasing_id()).checkpoint()
     sizes = rows.groupBy("_p").agg(F.count("*").alias("n"), F.min("_k").alias("_low"))
     sizes = sizes.select("_p", "_low", (F.sum("n").over(W.orderBy("_low")) - F.col("n")).alias("_before"))
     return rows.join(sizes, "_p").withColumn("_row", F.col("_before") + F.col("_k") - F.col("_low")).drop("_p", "_k", "_low", "_before")
@@ -89,7 +93,7 @@ def ingest_answers(rows: DataFrame) -> DataFrame:
 
     Ids are hc3_human_{row}_{i} and hc3_ai_{row}_{i}, counted from 0.
     """
-    rows = _ordinal(rows)
+    rows = _ordinal(rows.select("human_answers", "chatgpt_answers"))
     kinds = (("human_answers", "human", "HUMAN", None), ("chatgpt_answers", "ai", "AI_RAW", "chatgpt"))
     out = None
     for column, tag, origin, generator in kinds:
