@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import json
+from multiprocessing.pool import ThreadPool
 
+from pyspark import inheritable_thread_target
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import Imputer, RobustScaler, StandardScaler, VectorAssembler
@@ -11,12 +13,20 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.names import shared_folder
 from . import metrics, perturb, sanitize
 from .features import FEATURES, assemble
 
 SEED, FOLDS = 42, 3
 
 
+def stored(rows: DataFrame) -> DataFrame:
+    """rows, computed once. What trains on them starts from files: boosting runs thousands of short jobs, and each of their tasks
+    would be sent the plan of all features, as it is for rows that are only cached."""
+    shared_folder(rows.sparkSession)
+    return rows.checkpoint()
+
+
 def _classifier(kind: str, trees: int, depth: int, step: float):
     common = {"featuresCol": "scaled", "labelCol": "label"}
     return {
@@ -58,11 +68,14 @@ class Detector:
             self.models = [(self._pipeline().fit(rows), None)]
             return self
         rows = rows.withColumn("_fold", F.pmod(F.xxhash64(F.col("doc_id"), F.lit(SEED)), F.lit(FOLDS)))
-        self.models = []
-        for k in range(FOLDS):
+
+        def fold(k: int) -> tuple[PipelineModel, PipelineModel]:
             model = self._pipeline().fit(rows.filter(F.col("_fold") != k))
             out = self._margin(model.transform(rows.filter(F.col("_fold") == k))).select("margin", "label")
-            self.models.append((model, self._calibrator().fit(out)))
+            return model, self._calibrator().fit(out)
+
+        with ThreadPool(FOLDS) as pool:  # their jobs are short, so that a fold alone leaves the cores idle
+            self.models = pool.map(inheritable_thread_target(rows.sparkSession)(fold), range(FOLDS))
         return self
 
     @staticmethod

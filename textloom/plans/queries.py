@@ -307,7 +307,7 @@ def _labels(spark, sf_dir):
 
 
 def detector_scores(spark, sf_dir):
-    rows = detector.labelled_features(_docs(spark, sf_dir), _labels(spark, sf_dir)).persist()
+    rows = detector.stored(detector.labelled_features(_docs(spark, sf_dir), _labels(spark, sf_dir)))
     model = detector.Detector("boosted").fit(rows.filter("split = 'train'"))
     return model.predict(rows.filter("split = 'test'")).select("doc_id", "label", "ai_probability", "prediction")
 
