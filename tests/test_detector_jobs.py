@@ -4,7 +4,7 @@ import threading
 
 from pyspark.sql import functions as F
 
-from textloom.operators import detector
+from textloom.operators import detector, features, perturb, sanitize
 from textloom.plans import queries
 
 SF = "/root/testdata/sf0.001"
@@ -40,3 +40,19 @@ def test_folds_are_trained_side_by_side(spark, monkeypatch):
     monkeypatch.setattr(detector.Detector, "_margin", staticmethod(lambda out: out))
     rows = spark.range(30).select(F.col("id").alias("doc_id"), (F.col("id") % 2).alias("label"))
     assert len(detector.Detector("boosted").fit(rows).models) == detector.FOLDS
+
+
+def test_variants_are_assembled_once_and_whole(spark):
+    text = "Moreover, the important result is clear. We use it, and it helps to show many things. But people know this."
+    docs = spark.createDataFrame([(1, text, 1), (2, text + "  Other\twords.", 0), (3, None, 0), (4, "", 1)], "doc_id long, text string, label int")
+    kinds = ["zero_width", "homoglyph", "synonym", "humanizer"]
+    attacked = perturb.apply_attacks(docs, kinds, 0.6).withColumn("text", F.when(F.col("label") == 1, F.col("perturbed_text")).otherwise(F.col("text")))
+    texts = detector.variants(attacked)
+    assert {r.doc_id: r.n for r in texts.groupBy("doc_id").agg(F.count("*").alias("n")).collect()}[2] == 2
+    assert texts.select(F.sum(F.size("uses"))).first()[0] == 4 * len(kinds) * 2
+    key = F.concat_ws("|", "label", "attack_type", "form", "doc_id").alias("doc_id")
+    raw = attacked.withColumn("form", F.lit("raw")).select(key, "text")
+    tidy = sanitize.sanitize(attacked).withColumn("form", F.lit("sanitised")).select(key, F.col("clean_text").alias("text"))
+    parts = F.split("doc_id", r"\|")
+    want = features.assemble(raw.unionByName(tidy)).select(parts[0].cast("int").alias("label"), parts[1].alias("attack"), parts[2].alias("form"), *features.FEATURES)
+    assert sorted(map(tuple, detector.assembled_once(texts).collect())) == sorted(map(tuple, want.collect()))

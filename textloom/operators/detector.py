@@ -151,22 +151,34 @@ def ablation(rows: DataFrame, trees: int = 100, depth: int = 6) -> DataFrame:
 def adversarial_benchmark(docs: DataFrame, labels: DataFrame, severity: float = 0.6, kinds: tuple[str, ...] = ("zero_width", "homoglyph", "synonym", "humanizer")) -> DataFrame:
     """(model, attack, metrics): three models on clean test texts and under attacks.
 
-    Only texts with label 1 are attacked, and only the boosted model sees sanitised texts. All variants are one table with an
-    attack column, whose features are made in one pass.
+    Only texts with label 1 are attacked, and only the boosted model sees sanitised texts. Features are made once of each
+    different text of a document, as raw texts of other labels are the same under every attack and sanitising undoes some attacks.
     """
     known = docs.select("doc_id", "text").join(labels.select("doc_id", "label"), "doc_id")
-    clean = labelled_features(docs, labels).persist()
+    clean = stored(labelled_features(docs, labels))
     tested = known.join(clean.filter("split = 'test'").select("doc_id"), "doc_id")
     attacked = perturb.apply_attacks(tested, list(kinds), severity).withColumn("text", F.when(F.col("label") == 1, F.col("perturbed_text")).otherwise(F.col("text")))
-    rough = attacked.select(F.concat_ws("|", "doc_id", "attack_type", F.lit("raw")).alias("doc_id"), "text")
-    tidy = sanitize.sanitize(attacked).select(F.concat_ws("|", "doc_id", "attack_type", F.lit("sanitised")).alias("doc_id"), F.col("clean_text").alias("text"))
-    parts = F.split("doc_id", r"\|")
-    varied = assemble(rough.unionByName(tidy)).withColumn("attack", parts[1]).withColumn("form", parts[2]).withColumn("doc", parts[0].cast("long"))
-    varied = varied.join(tested.select(F.col("doc_id").alias("doc"), "label"), "doc").persist()
+    varied = assembled_once(variants(attacked))
     train, test, out = clean.filter("split = 'train'"), clean.filter("split = 'test'").withColumn("attack", F.lit("clean")), None
     for form, model in (("raw", Detector("logistic")), ("raw", Detector("forest", 100, 6)), ("sanitised", Detector("boosted", 120, 5))):
         kind, model = model.kind, model.fit(train)
         every = test.select("attack", "label", *FEATURES).unionByName(varied.filter(F.col("form") == form).select("attack", "label", *FEATURES))
-        one = metrics.evaluate(model.predict_proba(every).withColumnRenamed("ai_probability", "score"), by=["attack"]).select(F.lit(kind).alias("model"), "*")
+        one = model.predict_proba(every).select(F.lit(kind).alias("model"), "attack", "label", F.col("ai_probability").alias("score"))
         out = one if out is None else out.unionByName(one)
-    return out
+    return metrics.evaluate(stored(out), by=["model", "attack"])
+
+
+def variants(attacked: DataFrame) -> DataFrame:
+    """(doc_id, label, text, uses) of apply_attacks()' rows: the different texts of a document, raw and sanitised, and where each is
+    used, as an array of (attack, form)."""
+    forms = F.array(F.struct(F.lit("raw").alias("form"), "text"), F.struct(F.lit("sanitised").alias("form"), F.col("clean_text").alias("text")))
+    rows = sanitize.sanitize(attacked).select("doc_id", "label", "attack_type", F.explode(forms).alias("x"))
+    return rows.groupBy("doc_id", "label", F.col("x.text").alias("text")).agg(F.collect_list(F.struct(F.col("attack_type").alias("attack"), F.col("x.form").alias("form"))).alias("uses"))
+
+
+def assembled_once(texts: DataFrame) -> DataFrame:
+    """(label, attack, form, features) of variants()' rows."""
+    texts = stored(texts.withColumn("key", F.monotonically_increasing_id()))
+    made = assemble(texts.select(F.col("key").alias("doc_id"), "text")).withColumnRenamed("doc_id", "key")
+    made = stored(made.join(texts.select("key", "label", "uses"), "key"))
+    return made.withColumn("use", F.explode("uses")).select("label", "use.attack", "use.form", *FEATURES)
