@@ -8,7 +8,7 @@ import __spark_entry__
 LENGTHS = [(11, 14, 3, 12, 23, 9), (18, *[1] * 16), (13, 9, 1, 6, 4, 3)]
 
 
-@pytest.mark.parametrize("name", ["rule_score", "stream_rule_score", "confidence_bands", "stream_verdicts"])
+@pytest.mark.parametrize("name", ["rule_score", "stream_rule_score", "confidence_bands", "stream_verdicts", "explanations"])
 def test_as_the_sql(spark, tmp_path, name):
     rows = [(k, " ".join(" ".join(f"w{k}x{i}y{j}" for j in range(n)) + "." for i, n in enumerate(ns)), "en", "web", 1) for k, ns in enumerate(LENGTHS)]
     spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
