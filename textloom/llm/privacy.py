@@ -15,7 +15,8 @@ class. All its occurrences in all texts become spans of kind `term`; where it re
 
 Only terms that would be revealing if they stood in no other text are looked for in all texts, which rules out most and loses none, as
 P falls with n(t). Counts are partial aggregates; terms are joined to the words of texts, broadcast where they are few, else over salted
-keys, never to an entity's whole rows. Null texts are empty. Repeated rows get their result each.
+keys, never to an entity's whole rows. Texts are joined to the terms that they hold, which are broadcast where they are few, so that texts
+needn't be shuffled. Null texts are empty. Repeated rows get their result each.
 """
 
 from __future__ import annotations
@@ -39,6 +40,8 @@ REACH, DISCLOSURE, REMOVAL = 80, 0.8, 0.95
 STRENGTH, RESIDUAL = 1.0, 1.2
 #: Most bytes of revealing terms that are broadcast, and the parts a term's rows are dealt to beyond that.
 TERM_BYTES, SALTS = 1 << 20, 32
+#: Most bytes that rows' revealing terms are broadcast with, as a multiple of term_bytes, and what a row and a term of it take beside their strings.
+HELD_TIMES, HELD_ROW, HELD_TERM = 4, 64, 32
 
 
 def _digits(x: Column) -> Column:
@@ -135,7 +138,7 @@ def _words(docs: DataFrame) -> DataFrame:
 
 
 def revealing_terms(rows: DataFrame, docs: DataFrame, strength: float = STRENGTH, disclosure: float = DISCLOSURE, residual: float = RESIDUAL, term_bytes: int = TERM_BYTES) -> DataFrame:
-    """(of, entity, term, the counts, ratio, bits): revealing terms by the entity that they reveal, checkpointed."""
+    """(of, entity, term, the counts, ratio, bits): revealing terms by the entity that they reveal."""
     pairs = suspected_terms(rows, strength, disclosure, residual).checkpoint()
     share, left = disclosed(strength)
     terms = pairs.select("term").distinct()
@@ -145,7 +148,7 @@ def revealing_terms(rows: DataFrame, docs: DataFrame, strength: float = STRENGTH
         n_t = _with(_words(docs), terms, term_bytes).select("term", "text_hash").distinct().groupBy("term").agg(F.count("*").alias("n_all"))
     # Contexts cut by the rim may see less of a term than whole texts do, never more; greatest() guards the reverse.
     out = pairs.join(n_t, "term").withColumn("n_t", F.greatest("n_all", "n_kt")).withColumn("ratio", share).withColumn("bits", left)
-    return out.filter((F.col("ratio") >= disclosure) & (F.col("bits") <= residual)).select("of", "entity", "term", "n", "n_k", "n_c", "n_t", "n_kt", "n_ct", "ratio", "bits").checkpoint()
+    return out.filter((F.col("ratio") >= disclosure) & (F.col("bits") <= residual)).select("of", "entity", "term", "n", "n_k", "n_c", "n_t", "n_kt", "n_ct", "ratio", "bits")
 
 
 def _texts(docs: DataFrame) -> DataFrame:
@@ -155,7 +158,10 @@ def _texts(docs: DataFrame) -> DataFrame:
 def _term_spans(docs: DataFrame, terms: DataFrame, term_bytes: int) -> DataFrame:
     """(rid, extra): spans of all occurrences of terms (term, value) in whole texts."""
     held = _with(_words(docs).drop("text_hash"), terms, term_bytes)
-    held = held.groupBy("rid").agg(F.map_from_entries(F.collect_set(F.struct("term", "value"))).alias("held"))  # at most a text's terms
+    held = held.groupBy("rid").agg(F.map_from_entries(F.collect_set(F.struct("term", "value"))).alias("held")).checkpoint()  # at most a text's terms
+    strings = F.aggregate(F.map_entries("held"), F.lit(0).cast("long"), lambda a, e: a + F.octet_length(e["key"]) + F.octet_length(e["value"]) + HELD_TERM)
+    if (held.agg(F.sum(strings + HELD_ROW)).first()[0] or 0) <= HELD_TIMES * term_bytes:
+        held = F.broadcast(held)
     hits = spans(F.col("text"), TERM, 4, lambda hit, _: F.map_contains_key("held", F.lower(hit)))
     texts = _texts(docs).select(row_key().alias("rid"), "text")
     each = texts.join(held, "rid").dropDuplicates(["rid"]).select("rid", "held", hits.alias("hits"))
