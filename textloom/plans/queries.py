@@ -284,7 +284,7 @@ def stream_verdicts(spark, sf_dir):
     """Verdicts per five minutes of event time; documents arrive one a second."""
     def count(stream):
         scored = streams.score(stream).withColumn("ts", F.timestamp_seconds(F.col("doc_id") % 3600))
-        return streams.verdict_counts(scored).select(F.col("window.start").cast("timestamp_ntz").alias("window_start"), "classification", "n", F.round("mean_probability", 6).alias("mean_probability"))
+        return streams.verdict_counts(scored).select(F.col("window.start").cast("timestamp_ntz").alias("window_start"), "classification", "n", nearest(F.col("mean_probability")).alias("mean_probability"))
 
     return replay.replayed(spark, sf_dir, "documents", count, "complete")
 
